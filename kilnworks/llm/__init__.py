@@ -1,0 +1 @@
+"""Operators that prepare text for language-model training."""
