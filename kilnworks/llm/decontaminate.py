@@ -45,13 +45,16 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
 
 
 def find_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.75, window: int = 5, broadcast_rows: int = 1_000_000
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.75, window: int = 5, broadcast_rows: int = 1_000_000, with_copy: bool = False
 ) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item and containment of every item of which a document holds `share` or more."""
+    """doc_id, item_id, n_shared, n_item and containment of every item of which a document holds `share` or more.
+
+    with_copy adds the hash of the text, which tells rows of one id apart.
+    """
     table = item_shingles(items, item_id, item_text, share, window)
     sizes = {r["size"]: r["count"] for r in table.groupBy("size").count().collect()}  # a row for each shingle size, five at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], MATCHES)
+        return docs.sparkSession.createDataFrame([], T.StructType(MATCHES.fields + [T.StructField("copy", T.LongType())] * with_copy))
     df = _tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     df = df.withColumn("copy", F.xxhash64("_text"))
     sized = lambda n: F.transform(window_hashes(F.col("_words"), F.col("_n"), n), lambda h: F.struct(F.lit(n).alias("size"), h.alias("h")))
@@ -61,4 +64,4 @@ def find_items(
     hits = found.join(table, ["size", "h"]).groupBy("doc_id", "copy", "item", "item_id", "n_item", "h").agg(F.max("in_sketch").alias("in_sketch"))
     pairs = hits.groupBy("doc_id", "copy", "item", "item_id", "n_item").agg(F.count("*").alias("n_shared"), F.max("in_sketch").alias("candidate"))
     pairs = pairs.filter("candidate").withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
-    return pairs.select("doc_id", "item_id", "n_shared", "n_item", "containment")
+    return pairs.select(*MATCHES.names, *["copy"] * with_copy)

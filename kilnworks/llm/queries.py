@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import decontaminate, quality_rules
+from kilnworks.llm import decontaminate, jaccard, packing, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,30 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({x: F.round(x, 9) for x in ("char_distance", "word_distance")})
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.col("spans")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.as_text(spans, secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.as_text(spans).alias("spans"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_packing": op7_packing,
+    "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
 }
 
@@ -68,7 +86,19 @@ p as (select g.doc_id, g.text dt, i.item_id, i.text it, i.n_item, count(*) n_sha
 select doc_id, item_id, n_shared, n_item, n_shared / n_item containment from p where n_shared >= 0.75 * n_item
 """
 
+OP6_SQL = """
+with recursive d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+s as (select distinct rid, array_to_string(ws[k:k + 4], ' ') s from (select rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) k from d where len(ws) > 0)),
+n as (select rid, count(*) n from s group by rid),
+o as (select a.rid a, b.rid b, count(*) c from s a join s b on a.s = b.s and a.rid <> b.rid group by all),
+l as (select a, b from o join n x on x.rid = a join n y on y.rid = b where 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+m as (select a rid, min(doc_id) least from r join d on d.rid = r.b group by a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, m.least) component_id from d left join n using (rid) left join m using (rid)
+"""
+
 ORACLES = {
     "op3_quality_rules": OP3_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
 }
