@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import decontaminate, jaccard, packing, quality_rules, secrets
+from kilnworks.llm import chat_rotation, decontaminate, jaccard, packing, quality_rules, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({x: F.round(x, 9) for x in ("char_distance", "word_distance")})
 
 
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat_rotation.rotate(_table(spark, sf_dir, "conversations"))
+    return made.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ","))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -37,12 +42,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_words")
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_chat_rotation": op4_chat_rotation,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
 }
 
 
@@ -97,7 +108,20 @@ m as (select a rid, min(doc_id) least from r join d on d.rid = r.b group by a)
 select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, m.least) component_id from d left join n using (rid) left join m using (rid)
 """
 
+OP4_SQL = """
+with m as (select distinct conv_id, coalesce(turn, -(1::bigint << 62)) turn, coalesce(role, 'unknown') role, coalesce(text, '') text from conversations),
+p as (select *, cast(floor(turn / 256) as bigint) part from m),
+v as (select p.*, speaker, case when role = speaker then '<|assistant|>' when role = 'system' then '<|system|>' else '<|user name=' || role || '|>' end || chr(10) head
+  from p join (select distinct conv_id c, role speaker from m where role <> 'system') s on p.conv_id is not distinct from s.c),
+g as (select *, head || text || '<|end|>' || chr(10) seg from v),
+o as (select *, sum(length(seg)) over (partition by conv_id, speaker order by turn, role, text) - length(seg) begins from g)
+select conv_id, speaker, part, cast(min(begins) as bigint) as start, cast(count(*) as integer) n_turns, string_agg(seg, '' order by turn, role, text) as text,
+  coalesce(string_agg(cast(begins + length(head) as varchar) || ':' || cast(begins + length(seg) as varchar), ',' order by turn, role, text) filter (role = speaker), '') masks
+from o group by conv_id, speaker, part
+"""
+
 ORACLES = {
+    "op4_chat_rotation": OP4_SQL,
     "op3_quality_rules": OP3_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
