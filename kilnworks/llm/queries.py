@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import chat_rotation, decontaminate, jaccard, packing, quality_rules, secrets, token_counts
+from kilnworks.llm import chat_rotation, decontaminate, jaccard, lm_scoring, packing, quality_rules, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int):
+    """The remainder that decides which rows are held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(_fold(4) != 2))
+    made = toxicity.score(docs, model)
+    return made.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     made = quality_rules.apply_rules(docs, carry=["doc_id"])
@@ -23,6 +35,10 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ","))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), _fold(7) == 2)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -47,8 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_rotation": op4_chat_rotation,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
