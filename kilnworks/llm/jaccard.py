@@ -8,9 +8,11 @@ nothing after the first pass.
    the first `frequent` of them are taken; the order decides cost alone, never results.
 2. A row's prefix is its first n - ceil(share * n) + 1 columns in that order; linked rows share a prefix column.
    Rows of a column are combined only where sizes and positions leave room for the overlap that both sizes ask for.
-3. Within a column each class is first paired with its smallest class; what passes is joined to components. Then all
-   pairs of classes in a column that still lie in different components are taken, so no link between components is
-   lost, while groups of thousands of near copies never unfold into pairs.
+3. In some rounds each class meets, in every column, the first class of another component in some random orders; it
+   is paired with those it meets most often, and what links is joined to components. Groups of thousands of near
+   copies fall together this way at a few pairs per class and round. Then all pairs of classes in a column that still
+   lie in different components are taken, so no link between components is lost. For every pair the shared columns
+   are accumulated, and it is discarded where their count and positions leave too little room.
 4. Overlaps of the pairs left are accumulated in blocks: one class against up to `block` others, whole sets.
 
 Edge cases: null and empty texts, and texts of white space, have no n-grams and link with nothing; repeated rows are
@@ -41,6 +43,10 @@ OFTEN = 8
 BLOCK = 512
 #: Classes up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
 FETCH_ROWS = 200_000
+#: Rounds of chosen partners before all pairs, the random orders that partners of a round come from, and the partners taken.
+ROUNDS = 3
+SEEDS = 3
+PARTNERS = 3
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -97,13 +103,13 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequent: np.ndarray, percent: int):
-    """A function of Arrow batches of texts: (h, k1, n, pos) of each prefix column, once for each class of a task."""
+    """A function of Arrow batches of texts: (h, k1, size and position) of each prefix column, once for each class of a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, data, at in blocks(batch.column(0)):
-                hs, ks, ns, ps = [], [], [], []
+                hs, ks, ps = [], [], []
                 for s in shingle_sets(lower(data), at, WINDOW):
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
@@ -116,10 +122,9 @@ def _prefixes(frequent: np.ndarray, percent: int):
                         s = np.concatenate([s[~often], s[often]])
                     hs.append(s[:keep])
                     ks.append(np.full(keep, key[0], np.int64))
-                    ns.append(np.full(keep, n, np.int32))
-                    ps.append(np.arange(1, keep + 1, dtype=np.int32))
+                    ps.append((n << 32) + np.arange(1, keep + 1, dtype=np.int64))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(hs))), *[pa.array(np.concatenate(x)) for x in (ks, ns, ps)]], names=["h", "k1", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(hs))), *[pa.array(np.concatenate(x)) for x in (ks, ps)]], names=["h", "k1", "at"])
 
     return rows
 
@@ -130,21 +135,30 @@ def _room(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Colum
     return ((100 + percent) * after >= percent * (nx + ny)) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
 
 
+def _pack(s: np.ndarray) -> bytes:
+    """The upper six bytes of each hash: two sets of thousands share one by chance with odds of a millionth at most."""
+    return (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _sets_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each text, once for each block it takes part in."""
     for batch in batches:
         for first, last, data, at in blocks(batch.column(0)):
             sets = shingle_sets(lower(data), at, WINDOW)
-            lists = batch.column(1).slice(first, last - first).to_pylist()
-            nodes = batch.column(2).slice(first, last - first).to_pylist()
+            lists, nodes, k1, k2 = (batch.column(k).slice(first, last - first).to_pylist() for k in range(1, 5))
             out: list[tuple] = []
-            for s, node, roles in zip(sets, nodes, lists, strict=True):
-                if "{:X}-{:X}".format(*(x & 0xFFFFFFFFFFFFFFFF for x in set_key(s))) != node:
-                    continue
-                out += [(r["g"], r["salt"], r["lead"], node, s.tobytes()) for r in roles]
+            for s, node, roles, *key in zip(sets, nodes, lists, k1, k2, strict=True):
+                if set_key(s) == tuple(key):
+                    out += [(r["g"], r["salt"], r["lead"], node, _pack(s)) for r in roles]
             for k in range(0, len(out), 256):
                 g, salt, lead, node, raw = zip(*out[k : k + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(salt, pa.int32()), pa.array(lead, pa.bool_()), pa.array(node), pa.array(raw, pa.binary())], names=["g", "salt", "lead", "node", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(salt, pa.int32()), pa.array(lead, pa.bool_()), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["g", "salt", "lead", "node", "raw"])
 
 
 def _overlaps(percent: int):
@@ -155,17 +169,17 @@ def _overlaps(percent: int):
         for batch in batches:
             a, b = [], []
             for g, salt, first, node, raw in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if first and (g, salt) != block:
+                s = _unpack(raw)
+                if first:
                     block, lead = (g, salt), s
-                elif not first and (g, salt) == block:
+                elif (g, salt) == block:
                     spot = np.minimum(np.searchsorted(lead, s), len(lead) - 1)
                     shared = int((lead[spot] == s).sum())
                     if 100 * shared >= percent * (len(lead) + len(s) - shared):
                         a.append(g)
                         b.append(node)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows
 
@@ -178,12 +192,51 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) ->
     members = dealt.select(F.col("a").alias("g"), "salt", F.lit(False).alias("lead"), F.col("b").alias("node"))
     leads = dealt.select(F.col("a").alias("g"), "salt", F.lit(True).alias("lead"), F.col("a").alias("node")).distinct()
     roles = members.union(leads).groupBy("node").agg(F.collect_list(F.struct("g", "salt", "lead")).alias("roles"))
-    fetch = cut(roles.join(nodes, "node").select("node", "roles", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("copy")), "fetch")
+    fetch = cut(roles.join(nodes, "node").select("node", "k1", "k2", "roles", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("copy")), "fetch")
     texts = docs.withColumn("copy", F.xxhash64("text"))
     small = F.broadcast(fetch) if fetch.count() <= FETCH_ROWS else fetch
     found = texts.join(small, ["copy"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = found.select("text", "roles", "node").mapInArrow(_sets_for, "g string, salt int, lead boolean, node string, raw binary")
-    return cut(sets.repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("lead")).mapInArrow(_overlaps(percent), "a string, b string"), "found")
+    sets = found.select("text", "roles", "node", "k1", "k2").mapInArrow(_sets_for, "g long, salt int, lead boolean, node long, raw binary")
+    return cut(sets.repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("lead")).mapInArrow(_overlaps(percent), "a long, b long"), "found")
+
+
+def _mixed(members: DataFrame, joined: DataFrame, seeds: list[int], percent: int) -> DataFrame:
+    """Members of the columns that still hold several components, with `seeds` partners of another component each (or null)."""
+    column = Window.partitionBy("h")
+    df = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    df = df.withColumns({"lo": F.min("component").over(column), "hi": F.max("component").over(column)}).filter("lo != hi").drop("lo", "hi")
+    me = lambda s: F.struct(F.xxhash64(F.lit(s), "node").alias("rank"), "node", "component", "n")
+    df = df.withColumns({f"first{s}": F.min(me(s)).over(column) for s in seeds})
+    other = lambda s: F.min(F.when(F.col("component") != F.col(f"first{s}.component"), me(s))).over(column)
+    df = df.withColumns({f"other{s}": other(s) for s in seeds})
+    chosen = [F.when(F.col("component") == F.col(f"first{s}.component"), F.col(f"other{s}")).otherwise(F.col(f"first{s}")) for s in seeds]
+    fits = lambda o: 100 * F.least(F.col("n"), o["n"]) >= percent * F.greatest(F.col("n"), o["n"])
+    return df.select("h", "node", "component", "n", "pos", F.array_distinct(F.array_compact(F.array(F.lit(None).cast("long"), *[F.when(fits(o), o["node"]) for o in chosen]))).alias("partners"))
+
+
+def _hopeful(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of rows (a, b, na, nb, pa, pb) for each column that two classes share: the pairs whose accumulated columns leave room for a link."""
+    room = _room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
+    made = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"))
+    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+def _partners(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each class with the partners it meets most often."""
+    met = members.select("node", F.explode("partners").alias("other")).groupBy("node", "other").agg(F.count("*").alias("c"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), False), 1, PARTNERS).alias("best")).select("node", F.explode("best.other").alias("other"))
+    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    side = lambda k: members.select(F.col("node").alias(k), "h", F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
+    return _hopeful(pairs.join(side("a"), "a").join(side("b"), ["b", "h"]), percent)
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes in different components of a column."""
+    x, y = members.alias("x"), members.alias("y")
+    fits = (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & fits)
+    return _hopeful(met.select(*[F.col(f"{s}.{c}").alias(f"{n}{k}") for s, k in (("x", "a"), ("y", "b")) for c, n in (("node", ""), ("n", "n"), ("pos", "p"))]), percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -192,45 +245,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is the least id that links reach; exactly the rows with the least (id, copy) of a component are its
     representatives, and they are repeated rows of each other.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     survey = cut(docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(_survey, "kind tinyint, doc_id long, copy long, n long, k1 long, k2 long"), "survey")
     top = survey.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT).select("k1")
     frequent = np.sort(np.array([r[0] for r in top.collect()], dtype=np.int64).view(np.uint64))
-    rows = survey.filter("kind = 0").drop("kind").withColumn("node", F.when(F.col("n") > 0, F.concat_ws("-", F.hex("k1"), F.hex("k2"))))
-    nodes = cut(rows.filter("n > 0").groupBy("node", "k1").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.min("doc_id").alias("least")), "nodes")
-
-    by_column = Window.partitionBy("h")
-    columns = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, n int, pos int")
-    ordered = by_column.orderBy("n", "k1").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.struct("k1", "n", "pos")).over(ordered)
-    shared = columns.withColumns({"first": first, "final": F.last("k1").over(ordered)}).filter("first.k1 != final")
-    shared = cut(shared.select("h", "k1", "n", "pos", "first"), "columns")
-
-    named = nodes.select("k1", "node")
-    stars = shared.filter(F.col("first.k1") != F.col("k1")).filter(_room(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), percent))
-    stars = stars.select(F.col("first.k1").alias("ka"), F.col("k1").alias("kb")).distinct()
-    stars = stars.join(named.select(F.col("k1").alias("ka"), F.col("node").alias("a")), "ka").join(named.select(F.col("k1").alias("kb"), F.col("node").alias("b")), "kb").select("a", "b")
-    links = _links(docs, stars, nodes, percent)
-    joined = components(links)
-
-    members = shared.select("h", "k1", "n", "pos").distinct().join(named, "k1").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h")
-    members = cut(members.join(mixed, "h").select("h", "node", "component", "n", "pos"), "members")
-    x, y = members.alias("x"), members.alias("y")
-    # A pair's smaller class must leave room for itself; that keeps one side of each column short.
-    x = x.filter((100 + percent) * (1 + F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
-    ordered_pair = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
-    room = _room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & ordered_pair & room)
-    more = _links(docs, rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, percent)
-    joined = components(links.union(more)) if more.count() else joined
+    rows = survey.filter("kind = 0").drop("kind")
+    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.min("doc_id").alias("least"))
+    nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers of this table, fixed once written
+
+    column = Window.partitionBy("h")
+    columns = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, at long")
+    shared = columns.withColumns({"lo": F.min("k1").over(column), "hi": F.max("k1").over(column)}).filter("lo != hi").select("h", "k1", "at").distinct()
+    shared = shared.join(nodes.select("k1", "node"), "k1").select("h", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
+    shared = cut(shared, "columns")
+
+    links, joined = None, nodes.select("node", F.col("node").alias("component")).limit(0)
+    members = shared
+    for k in range(ROUNDS + 1):
+        members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [k * SEEDS + s for s in range(SEEDS)] if k < ROUNDS else [], percent), "mixed")
+        found = _links(docs, _partners(members, percent) if k < ROUNDS else _across(members, percent), nodes, percent)
+        links = found if links is None else links.union(found)
+        joined = components(links)
 
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.min("rep").alias("head"))
-    placed = whole.join(heads, "component").select("node", "component_id", "head")
-    out = rows.join(placed, "node", "left")
-    alone = F.col("node").isNull()
+    placed = whole.join(heads, "component").select("k1", "k2", "component_id", "head")
+    out = rows.join(placed, ["k1", "k2"], "left")
+    alone = F.col("n") == 0
     return out.select(
         "doc_id",
         "copy",
