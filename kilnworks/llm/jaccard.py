@@ -12,8 +12,9 @@ nothing after the first pass.
    is paired with those it meets most often, and what links is joined to components. Groups of thousands of near
    copies fall together this way at a few pairs per class and round. Then all pairs of classes in a column that still
    lie in different components are taken, so no link between components is lost. For every pair the shared columns
-   are accumulated, and it is discarded where their count and positions leave too little room.
-4. Overlaps of the pairs left are accumulated in blocks: one class against up to `block` others, whole sets.
+   are accumulated, and it is discarded where their count and positions leave too little room. The likeliest pairs of
+   each class are compared first; pairs whose classes have been joined by then need no comparison.
+4. Overlaps of the pairs left are accumulated from whole sets, for two blocks of classes at a time.
 
 Edge cases: null and empty texts, and texts of white space, have no n-grams and link with nothing; repeated rows are
 one class; an id that stands in several rows with different texts is judged by each text; null ids never name a
@@ -39,8 +40,8 @@ WINDOW = 5
 FREQUENT = 100_000
 #: Distinct sets of a batch that must hold a column before it counts as frequent.
 OFTEN = 8
-#: Members that a class is compared with in one block.
-BLOCK = 512
+#: N-grams of the classes in a block.
+BLOCK = 1 << 20
 #: Classes up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
 FETCH_ROWS = 200_000
 #: Rounds of chosen partners before all pairs, the random orders that partners of a round come from, and the partners taken.
@@ -155,29 +156,31 @@ def _sets_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for s, node, roles, *key in zip(sets, nodes, lists, k1, k2, strict=True):
                 if set_key(s) == tuple(key):
-                    out += [(r["g"], r["salt"], r["lead"], node, _pack(s)) for r in roles]
+                    out += [(r["i"], r["j"], node, _pack(s)) for r in roles]
             for k in range(0, len(out), 256):
-                g, salt, lead, node, raw = zip(*out[k : k + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(salt, pa.int32()), pa.array(lead, pa.bool_()), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["g", "salt", "lead", "node", "raw"])
+                i, j, node, raw = zip(*out[k : k + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["i", "j", "a", "raw"])
 
 
 def _overlaps(percent: int):
-    """A function of Arrow batches sorted by block, its leading class first: the links of each block."""
+    """A function of Arrow batches sorted by block, sets before pairs: the pairs of each block that link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, lead = None, np.zeros(0, np.uint64)
+        block, held = None, {}
         for batch in batches:
             a, b = [], []
-            for g, salt, first, node, raw in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                s = _unpack(raw)
-                if first:
-                    block, lead = (g, salt), s
-                elif (g, salt) == block:
-                    spot = np.minimum(np.searchsorted(lead, s), len(lead) - 1)
-                    shared = int((lead[spot] == s).sum())
-                    if 100 * shared >= percent * (len(lead) + len(s) - shared):
-                        a.append(g)
-                        b.append(node)
+            for i, j, x, y, raw in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if (i, j) != block:
+                    block, held = (i, j), {}
+                if raw is not None:
+                    held[x] = _unpack(raw)
+                    continue
+                s, t = held[x], held[y]
+                spot = np.minimum(np.searchsorted(s, t), len(s) - 1)
+                shared = int((s[spot] == t).sum())
+                if 100 * shared >= percent * (len(s) + len(t) - shared):
+                    a.append(x)
+                    b.append(y)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -185,19 +188,23 @@ def _overlaps(percent: int):
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose whole sets link."""
+    """Those of the pairs (a, b) of classes whose whole sets link.
+
+    Classes are dealt into blocks of about BLOCK n-grams; a set goes once to each pair of blocks in which it has a pair.
+    """
     pairs = cut(pairs.distinct(), "pairs")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    members = dealt.select(F.col("a").alias("g"), "salt", F.lit(False).alias("lead"), F.col("b").alias("node"))
-    leads = dealt.select(F.col("a").alias("g"), "salt", F.lit(True).alias("lead"), F.col("a").alias("node")).distinct()
-    roles = members.union(leads).groupBy("node").agg(F.collect_list(F.struct("g", "salt", "lead")).alias("roles"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    size = ends.join(nodes, "node").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    block = lambda k: F.pmod(F.xxhash64(k), F.lit(-(-size // BLOCK) or 1))
+    dealt = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
+    roles = dealt.select(F.col("a").alias("node"), "i", "j").union(dealt.select("b", "i", "j")).distinct().groupBy("node").agg(F.collect_list(F.struct("i", "j")).alias("roles"))
     fetch = cut(roles.join(nodes, "node").select("node", "k1", "k2", "roles", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("copy")), "fetch")
     texts = docs.withColumn("copy", F.xxhash64("text"))
     small = F.broadcast(fetch) if fetch.count() <= FETCH_ROWS else fetch
     found = texts.join(small, ["copy"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = found.select("text", "roles", "node", "k1", "k2").mapInArrow(_sets_for, "g long, salt int, lead boolean, node long, raw binary")
-    return cut(sets.repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("lead")).mapInArrow(_overlaps(percent), "a long, b long"), "found")
+    sets = found.select("text", "roles", "node", "k1", "k2").mapInArrow(_sets_for, "i long, j long, a long, raw binary")
+    both = sets.select("i", "j", "a", F.lit(None).cast("long").alias("b"), "raw").union(dealt.select("i", "j", "a", "b", F.lit(None).cast("binary")))
+    return cut(both.repartition("i", "j").sortWithinPartitions("i", "j", F.col("raw").isNull()).mapInArrow(_overlaps(percent), "a long, b long"), "found")
 
 
 def _mixed(members: DataFrame, joined: DataFrame, seeds: list[int], percent: int) -> DataFrame:
@@ -219,7 +226,8 @@ def _hopeful(pairs: DataFrame, percent: int) -> DataFrame:
     room = _room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
     made = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"))
     most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+    likely = most / (F.col("na") + F.col("nb"))
+    return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b", likely.alias("likely"))
 
 
 def _partners(members: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     top = survey.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT).select("k1")
     frequent = np.sort(np.array([r[0] for r in top.collect()], dtype=np.int64).view(np.uint64))
     rows = survey.filter("kind = 0").drop("kind")
-    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers of this table, fixed once written
 
     column = Window.partitionBy("h")
@@ -261,15 +269,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links, joined = None, nodes.select("node", F.col("node").alias("component")).limit(0)
     members = shared
-    for k in range(ROUNDS + 1):
-        members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [k * SEEDS + s for s in range(SEEDS)] if k < ROUNDS else [], percent), "mixed")
-        found = _links(docs, _partners(members, percent) if k < ROUNDS else _across(members, percent), nodes, percent)
+    for k in range(ROUNDS):
+        members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [k * SEEDS + s for s in range(SEEDS)], percent), "mixed")
+        found = _links(docs, _partners(members, percent).select("a", "b"), nodes, percent)
         links = found if links is None else links.union(found)
         joined = components(links)
+    members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [], percent), "mixed")
+    pairs, take = cut(_across(members, percent), "across"), 1
+    while pairs.limit(1).count():
+        # The likeliest pairs of each class first: what they join need not be compared any more.
+        ends = pairs.select(F.col("a").alias("node"), "a", "b", "likely").union(pairs.select("b", "a", "b", "likely"))
+        best = ends.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("likely"), "a", "b")))
+        tried = cut(best.filter(F.col("place") <= take).select("a", "b").distinct(), "tried")
+        links = links.union(_links(docs, tried, nodes, percent))
+        joined = cut(components(links), "joined")
+        at = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+        left = pairs.join(tried, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+        pairs = cut(left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "likely"), "across")
+        take *= 4
 
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.min("rep").alias("head"))
-    placed = whole.join(heads, "component").select("k1", "k2", "component_id", "head")
+    placed = whole.drop("n").join(heads, "component").select("k1", "k2", "component_id", "head")
     out = rows.join(placed, ["k1", "k2"], "left")
     alone = F.col("n") == 0
     return out.select(
