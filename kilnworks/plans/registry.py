@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from kilnworks.plans import manufacturing
+
+QUERIES = dict(manufacturing.QUERIES)
+ORACLES = dict(manufacturing.ORACLES)
 FLAGSHIP = "v_oee4_site_daily_kpi"
