@@ -41,11 +41,11 @@ FREQUENT = 100_000
 #: Distinct sets of a batch that must hold a column before it counts as frequent.
 OFTEN = 8
 #: N-grams of the classes in a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
 #: Classes up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
 FETCH_ROWS = 200_000
 #: Rounds of chosen partners before all pairs, the random orders that partners of a round come from, and the partners taken.
-ROUNDS = 3
+ROUNDS = 1
 SEEDS = 3
 PARTNERS = 3
 _SALT = np.uint64(0x6A09E667F3BCC909)
@@ -225,7 +225,9 @@ def _hopeful(pairs: DataFrame, percent: int) -> DataFrame:
     """Of rows (a, b, na, nb, pa, pb) for each column that two classes share: the pairs whose accumulated columns leave room for a link."""
     room = _room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
     made = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"))
-    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # Beyond the columns counted, a pair can share what follows the last of them, and no more than one side's columns outside its prefix.
+    outside = F.greatest(*[F.ceil(F.col(k) * percent / 100) - 1 for k in ("na", "nb")])
+    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), outside)
     likely = most / (F.col("na") + F.col("nb"))
     return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b", likely.alias("likely"))
 
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = found if links is None else links.union(found)
         joined = components(links)
     members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [], percent), "mixed")
-    pairs, take = cut(_across(members, percent), "across"), 1
+    pairs, take = cut(_across(members, percent), "across"), 4
     while pairs.limit(1).count():
         # The likeliest pairs of each class first: what they join need not be compared any more.
         ends = pairs.select(F.col("a").alias("node"), "a", "b", "likely").union(pairs.select("b", "a", "b", "likely"))
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
         left = pairs.join(tried, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
         pairs = cut(left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "likely"), "across")
-        take *= 4
+        take *= 8
 
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.min("rep").alias("head"))
