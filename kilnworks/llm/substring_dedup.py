@@ -31,7 +31,7 @@ from kilnworks.llm.suffixes import Shard
 SIZE = 200
 GRAM = 48
 #: Bytes of segments in a shard; a minimizer with more is dealt out.
-SHARD = 4 << 20
+SHARD = 1 << 20
 #: Documents up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
 FETCH_ROWS = 200_000
 _PLACE_BITS = np.uint64(28)
