@@ -8,12 +8,11 @@ nothing after the first pass.
    the first `frequent` of them are taken; the order decides cost alone, never results.
 2. A row's prefix is its first n - ceil(share * n) + 1 columns in that order; linked rows share a prefix column.
    Rows of a column are combined only where sizes and positions leave room for the overlap that both sizes ask for.
-3. In some rounds each class meets, in every column, the first class of another component in some random orders; it
-   is paired with those it meets most often, and what links is joined to components. Groups of thousands of near
-   copies fall together this way at a few pairs per class and round. Then all pairs of classes in a column that still
-   lie in different components are taken, so no link between components is lost. For every pair the shared columns
-   are accumulated, and it is discarded where their count and positions leave too little room. The likeliest pairs of
-   each class are compared first; pairs whose classes have been joined by then need no comparison.
+3. First each class meets, in every column, the first class of another component in some random orders, and is paired
+   with those it meets most often; then all classes of a crowded column meet a few of it. What links is joined to
+   components, so groups of thousands of near copies fall together at a few pairs per class. Last, all pairs of
+   classes in a column that still lie in different components are taken, so no link between components is lost. For
+   every pair the shared columns are accumulated, and it is discarded where they leave too little room.
 4. Overlaps of the pairs left are accumulated from whole sets, for two blocks of classes at a time.
 
 Edge cases: null and empty texts, and texts of white space, have no n-grams and link with nothing; repeated rows are
@@ -44,10 +43,10 @@ OFTEN = 8
 BLOCK = 1 << 22
 #: Classes up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
 FETCH_ROWS = 200_000
-#: Rounds of chosen partners before all pairs, the random orders that partners of a round come from, and the partners taken.
-ROUNDS = 1
-SEEDS = 3
-PARTNERS = 3
+#: The random orders that first partners come from, the partners taken, and the classes of a crowded column that all others meet.
+SEEDS = 4
+PARTNERS = 4
+CROWD = 48
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -228,25 +227,42 @@ def _hopeful(pairs: DataFrame, percent: int) -> DataFrame:
     # Beyond the columns counted, a pair can share what follows the last of them, and no more than one side's columns outside its prefix.
     outside = F.greatest(*[F.ceil(F.col(k) * percent / 100) - 1 for k in ("na", "nb")])
     most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), outside)
-    likely = most / (F.col("na") + F.col("nb"))
-    return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b", likely.alias("likely"))
+    return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+def _counted(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The hopeful ones of some pairs, by all columns that they share."""
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    side = lambda k: members.select(F.col("node").alias(k), "h", F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
+    return _hopeful(pairs.join(side("a"), "a").join(side("b"), ["b", "h"]), percent)
 
 
 def _partners(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of each class with the partners it meets most often."""
     met = members.select("node", F.explode("partners").alias("other")).groupBy("node", "other").agg(F.count("*").alias("c"))
-    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), False), 1, PARTNERS).alias("best")).select("node", F.explode("best.other").alias("other"))
-    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda k: members.select(F.col("node").alias(k), "h", F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
-    return _hopeful(pairs.join(side("a"), "a").join(side("b"), ["b", "h"]), percent)
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), False), 1, PARTNERS).alias("best"))
+    return _counted(best.select("node", F.explode("best.other").alias("other")), members, percent)
+
+
+def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Classes of different components in a column of both sides, where sizes and positions leave room for a link."""
+    x, y = x.alias("x"), y.alias("y")
+    room = _room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & room)
+    return met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
+
+
+def _crowded(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of all classes in a crowded column with some of it: the CROWD classes that come first in a random order."""
+    column = Window.partitionBy("h")
+    ranked = members.withColumns({"many": F.count("*").over(column), "place": F.row_number().over(column.orderBy(F.xxhash64("node"), "node"))})
+    crowded = ranked.filter(F.col("many") > CROWD)
+    return _counted(_meet(crowded, crowded.filter(F.col("place") <= CROWD), percent), members, percent)
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes in different components of a column."""
-    x, y = members.alias("x"), members.alias("y")
-    fits = (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & fits)
-    return _hopeful(met.select(*[F.col(f"{s}.{c}").alias(f"{n}{k}") for s, k in (("x", "a"), ("y", "b")) for c, n in (("node", ""), ("n", "n"), ("pos", "p"))]), percent)
+    return _counted(_meet(members, members, percent).filter("node < other"), members, percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -269,26 +285,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = shared.join(nodes.select("k1", "node"), "k1").select("h", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
     shared = cut(shared, "columns")
 
-    links, joined = None, nodes.select("node", F.col("node").alias("component")).limit(0)
-    members = shared
-    for k in range(ROUNDS):
-        members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [k * SEEDS + s for s in range(SEEDS)], percent), "mixed")
-        found = _links(docs, _partners(members, percent).select("a", "b"), nodes, percent)
+    links, joined, members = None, nodes.select("node", F.col("node").alias("component")).limit(0), shared
+    for choose, seeds in ((_partners, SEEDS), (_crowded, 0), (_across, 0)):
+        members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, list(range(seeds)), percent), "mixed")
+        found = _links(docs, choose(members, percent), nodes, percent)
         links = found if links is None else links.union(found)
-        joined = components(links)
-    members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, [], percent), "mixed")
-    pairs, take = cut(_across(members, percent), "across"), 4
-    while pairs.limit(1).count():
-        # The likeliest pairs of each class first: what they join need not be compared any more.
-        ends = pairs.select(F.col("a").alias("node"), "a", "b", "likely").union(pairs.select("b", "a", "b", "likely"))
-        best = ends.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("likely"), "a", "b")))
-        tried = cut(best.filter(F.col("place") <= take).select("a", "b").distinct(), "tried")
-        links = links.union(_links(docs, tried, nodes, percent))
         joined = cut(components(links), "joined")
-        at = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-        left = pairs.join(tried, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-        pairs = cut(left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "likely"), "across")
-        take *= 8
 
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.min("rep").alias("head"))
