@@ -445,3 +445,85 @@ query(
 query("topk_above_ucl", "source_record_id excess~", "select source_record_id, p - upper_limit excess from spc where status = 'ABOVE_UCL' order by p - upper_limit desc, source_record_id limit 20")(
     lambda p: chart(p).filter("status = 'ABOVE_UCL'").withColumn("excess", F.col("proportion") - F.col("upper_limit")).orderBy(F.desc("excess"), "source_record_id").limit(20)
 )
+
+
+def ordinary(p: Plant) -> DataFrame:
+    """Special causes of the Laney chart beside those of the ordinary p chart (spread 1), by phase."""
+    reach = 3 * F.col("sigma_p")
+    usual = (F.col("proportion") > F.least(F.lit(1.0), F.col("centre") + reach)) | (F.col("proportion") < F.greatest(F.lit(0.0), F.col("centre") - reach))
+    phase = F.when(F.col("in_baseline"), "BASELINE").otherwise("MONITORING").alias("phase")
+    scored = chart(p).filter("upper_limit IS NOT NULL")
+    return scored.groupBy(phase).agg(F.count("*").alias("n"), F.avg(F.col("special_cause").cast("int")).alias("laney_share"), F.avg(usual.cast("int")).alias("ordinary_share"))
+
+
+query(
+    "v_spc3_laney_against_ordinary",
+    "phase n laney_share~ ordinary_share~",
+    """select case when yr = 1996 then 'BASELINE' else 'MONITORING' end phase, count(*) n, avg(cast(status in ('ABOVE_UCL', 'BELOW_LCL') as int)) laney_share, avg(cast(p > least(1, c + 3 * sp) or p < greatest(0, c - 3 * sp) as int)) ordinary_share
+  from spc where upper_limit is not null group by 1""",
+)(ordinary)
+
+
+def best_and_worst(p: Plant) -> DataFrame:
+    by = energy.energy_rollup(energy.shift_energy_kpi(p.fact_production), ["site_id", "line_id"]).select("line_id", "kwh_per_1000")
+    end = lambda order, name: by.orderBy(order, "line_id").limit(5).withColumn("side", F.lit(name))
+    return end(F.asc_nulls_last("kwh_per_1000"), "BEST").unionByName(end(F.desc_nulls_last("kwh_per_1000"), "WORST"))
+
+
+_INTENSITY = f"select line_id, kwh_per_1000 from ({_energy_sql('site_id, line_id')}) e order by kwh_per_1000"
+query("topk2_energy_lines", "side line_id kwh_per_1000~", f"select *, 'BEST' side from ({_INTENSITY} nulls last, line_id limit 5) b union all select *, 'WORST' side from ({_INTENSITY} desc nulls last, line_id limit 5) w")(best_and_worst)
+
+
+def day_gold(p: Plant, keys: list[str]) -> DataFrame:
+    loss_side = production.loss_rollup(accounting(p), keys).select(*keys, "total_technical_loss_units", "total_technical_eur")
+    energy_side = energy.energy_rollup(energy.shift_energy_kpi(p.fact_production), keys).select(*keys, "electricity_kwh", "kwh_per_1000")
+    return production.kpi_rollup(kpi(p), keys).join(loss_side, keys, "left").join(energy_side, keys, "left")
+
+
+for _name, _keys in {"v_go2_line_day_gold": "date_id site_id line_id", "v_go3_site_day_gold": "date_id site_id"}.items():
+    _by = _keys.replace(" ", ", ")
+    query(
+        _name,
+        f"{_keys} oee~ total_technical_loss_units~ total_technical_eur~ electricity_kwh~ kwh_per_1000~",
+        f"select * from ({_roll_sql(_by)}) k left join (select {_by}, sum(total_technical_loss_units) total_technical_loss_units, sum(total_technical_eur) total_technical_eur from acc group by {_by}) l using ({_by}) left join ({_energy_sql(_by)}) e using ({_by})",
+    )(lambda p, k=_keys: day_gold(p, k.split()))
+
+
+def by_type(p: Plant) -> DataFrame:
+    month = p.fact_production.select(F.col("source_record_id").alias("production_record_id"), F.trunc("timestamp_start", "MM").cast("string").alias("month"))
+    known = events(p).join(month, "production_record_id").join(p.dim_equipment.select("equipment_id", "equipment_type"), "equipment_id")
+    return known.groupBy("month", "site_id", "equipment_type").agg(F.count("*").alias("failures"), F.countDistinct("equipment_id").alias("equipment"), F.sum("downtime_hours").alias("downtime_hours"), F.avg("repair_hours").alias("mttr_hours"))
+
+
+query(
+    "v_rel8_monthly_type_reliability",
+    "month site_id equipment_type failures equipment downtime_hours~ mttr_hours~",
+    """select cast(cast(date_trunc('month', p.timestamp_start) as date) as varchar) as month, ev.site_id, e.equipment_type, count(*) failures, count(distinct ev.equipment_id) equipment, sum(downtime_hours) downtime_hours, avg(repair_hours) mttr_hours
+  from ev join fact_production p on p.source_record_id = ev.production_record_id join dim_equipment e on e.equipment_id = ev.equipment_id group by 1, 2, 3""",
+)(by_type)
+
+
+def gates(p: Plant) -> DataFrame:
+    """Identities that must hold: each gate with the rows that break it."""
+    a = accounting(p)
+    off = lambda x, y: F.abs(x - y) > 1e-6
+    bridge = F.col("good_quantity") + F.col("total_technical_loss_units")
+    down = F.col("planned_downtime_min") + F.col("unplanned_downtime_min")
+    flags = {
+        "oee_in_bounds": (F.col("oee") < 0) | (F.col("oee") > 1),
+        "oee_is_technical_efficiency": off(F.col("oee"), F.col("technical_output_efficiency")),
+        "losses_bridge_capacity": off(bridge, F.col("theoretical_capacity_units")),
+        "downtime_fills_the_shift": off(down, F.col("planned_production_time_min") - F.col("operating_time_min")),
+        "changeover_within_planned": F.col("changeover_downtime_min") > F.col("planned_downtime_min"),
+        "losses_not_negative": F.least("availability_loss_units", "performance_loss_units", "quality_loss_units") < 0,
+    }
+    return a.agg(*[F.count_if(c).alias(k) for k, c in flags.items()]).unpivot([], list(flags), "gate", "bad_rows")
+
+
+query(
+    "gt3_identities",
+    "gate bad_rows",
+    """unpivot (select count(*) filter (oee < 0 or oee > 1) oee_in_bounds, count(*) filter (abs(oee - technical_output_efficiency) > 1e-6) oee_is_technical_efficiency, count(*) filter (abs(good_quantity + total_technical_loss_units - theoretical_capacity_units) > 1e-6) losses_bridge_capacity,
+  count(*) filter (abs(planned_downtime_min + unplanned_downtime_min - planned_production_time_min + operating_time_min) > 1e-6) downtime_fills_the_shift, count(*) filter (changeover_downtime_min > planned_downtime_min) changeover_within_planned,
+  count(*) filter (least(availability_loss_units, performance_loss_units, quality_loss_units) < 0) losses_not_negative from acc) on columns(*) into name gate value bad_rows""",
+)(gates)
