@@ -32,8 +32,6 @@ SIZE = 200
 GRAM = 48
 #: Bytes of segments in a shard; a minimizer with more is dealt out.
 SHARD = 1 << 20
-#: Documents up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
-FETCH_ROWS = 200_000
 _PLACE_BITS = np.uint64(28)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -190,8 +188,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = cut(one.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "i", "j", "shard", "whole", "at")).alias("wanted")), "wanted")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["copy"] == b["copy"])
     fetched = docs.dropDuplicates(["doc_id", "copy"]) if docs.filter("doc_id IS NULL").limit(1).count() else docs
-    small = F.broadcast(lists) if lists.count() <= FETCH_ROWS // 8 else lists
-    texts = fetched.join(small, same(fetched, lists)).select(lists["doc_id"], lists["copy"], "wanted", "text")
+    texts = fetched.join(lists, same(fetched, lists)).select(lists["doc_id"], lists["copy"], "wanted", "text")
     cuts = texts.mapInArrow(_cut_out(size), "low long, i int, j int, shard int, whole boolean, at long, doc_id long, copy long, part binary")
     dealt = cuts.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").select("low", "i", "j", "shard", "whole", "at", "doc_id", "copy", "part")
     partly = dealt.mapInArrow(_repeats(size, shard), "doc_id long, copy long, span long")
