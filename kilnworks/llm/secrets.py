@@ -1,9 +1,10 @@
 """Secret scans: patterns for well-known credentials, and a token-efficiency test for everything else that looks random.
 
-A run of 20 or more letters, digits and + / _ = - that holds both a letter and a digit is put through a byte-pair
-vocabulary. Ordinary words take several characters a token; a run that gets fewer than `chars_per_token` is random.
-Left out first, as known digests and identifiers: hexadecimal runs of a digest's length, UUIDs, runs of words with
-numbers behind them (names, versions, dates), and whatever a pattern has reported already.
+A run of 20 or more letters, digits and + / _ = - that holds a letter is put through a byte-pair vocabulary. Ordinary
+words take several characters a token; a run that gets fewer than `chars_per_token` is random. Left out first, as known
+digests and identifiers: hexadecimal runs of a digest's length, UUIDs, and runs of words with numbers behind them
+(names, versions, dates) whose groups of letters get `chars_per_token` or more together. Of a run that a pattern has
+reported in part, the stretches of 20 or more characters beside the report are tested by themselves.
 
 Only the bytes of the vocabulary (under 1 MB) travel to the executors, so its path is needed on the driver alone.
 
@@ -35,7 +36,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # The shortest hexadecimal run counts 24, so looking for 24 or more finds the same runs as looking for all.
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+LETTER = re.compile(r"[A-Za-z]")
+WORD = re.compile(r"[A-Za-z]{2,}")
+LEAST = 20
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"[/_=+-]*(?:[A-Za-z]{2,}|[0-9]+|[A-Za-z]{2,}[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]+|[A-Za-z]))*[/_=+-]*")
@@ -65,9 +68,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def known(run: str) -> bool:
+def random_like(words: list[str], enc, chars_per_token: float) -> bool:
+    """Whether words get fewer characters a token than ordinary text does."""
+    return sum(map(len, words)) < chars_per_token * sum(len(enc.encode_ordinary(w)) for w in words)
+
+
+def known(run: str, enc, chars_per_token: float = CHARS_PER_TOKEN) -> bool:
     """Whether a run is a digest or an identifier rather than a secret."""
-    return bool(not MIXED.match(run) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
+    if not LETTER.search(run) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
+        return True
+    return bool(IDENTIFIER.fullmatch(run)) and not random_like(WORD.findall(run), enc, chars_per_token)
+
+
+def uncovered(start: int, end: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of a run, long enough to test, that no base span covers."""
+    for a, b in sorted((a, b) for _, a, b in base if a < end and start < b):
+        if a - start >= LEAST:
+            yield start, a
+        start = max(start, b)
+    if end - start >= LEAST:
+        yield start, end
 
 
 def scan(text: str, enc, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -75,8 +95,9 @@ def scan(text: str, enc, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple
     base = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        if not known(m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base) and len(m[0]) < chars_per_token * len(enc.encode_ordinary(m[0])):
-            more.append(("random", m.start(), m.end()))
+        for a, b in uncovered(m.start(), m.end(), base):
+            if not known(text[a:b], enc, chars_per_token) and random_like([text[a:b]], enc, chars_per_token):
+                more.append(("random", a, b))
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

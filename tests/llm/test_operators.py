@@ -152,6 +152,19 @@ def test_secrets(spark, docs):
     assert [r.text for r in out] == ["é [secret] end", None] and secrets.scan("é token=abcdef123 end", enc) == [("assign", 2, 17)]
 
 
+def test_secrets_of_letters_alone_and_beside_patterns():
+    enc = secrets.encoder(secrets.read_vocabulary())
+    found = lambda t: [t[a:b] if k == "random" else k for k, a, b in secrets.scan(t, enc)]
+    assert found("key kQzXwPvRtYmNbLcHdFgJ end") == ["kQzXwPvRtYmNbLcHdFgJ"]
+    assert found("kQzXwPvRtYmNbLcH1234") == ["kQzXwPvRtYmNbLcH1234"] and found("kQzXwPvR_tYmNbLcH_17-xJqWzK") == ["kQzXwPvR_tYmNbLcH_17-xJqWzK"]
+    assert found("0123456789abcdef01234567_kQz9wPvRtYm3bLcHdFgJ") == ["hex", "_kQz9wPvRtYm3bLcHdFgJ"]
+    assert found("x9Kq2LmZ8vRt4WpB7nYc1TdG5_token=abcdef1") == ["x9Kq2LmZ8vRt4WpB7nYc1TdG5_", "assign"]
+    assert found("Donaudampfschifffahrtsgesellschaft getCustomerOrderHistoryByAccount internationalization/specifications --------------------") == []
+    rnd = random.Random(5)
+    keys = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(1000)]
+    assert sum(found(k) == [k] for k in keys) >= 990
+
+
 def test_packing_boundaries_are_optimal():
     from itertools import combinations
 
