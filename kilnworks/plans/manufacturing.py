@@ -332,14 +332,14 @@ def rules(p: Plant) -> DataFrame:
                     checks.RowRule("PROD_REQUIRED_NULLS", null("source_record_id", "timestamp_start", "line_id")),
                     checks.RowRule("PROD_QTY_RECON", F.col("actual_quantity") != F.col("good_quantity") + F.col("reject_quantity")),
                     checks.RowRule("PROD_TIME_VALID", F.col("operating_time_min") > F.col("planned_production_time_min")),
-                    checks.RowRule("ENERGY_POSITIVE", F.col("electricity_kwh") <= 2000),
+                    checks.RowRule("ENERGY_POSITIVE", F.col("electricity_kwh") <= 0),
                 ],
             ),
             checks.duplicate_groups(prod, "PROD_DUP_SOURCE", ["source_record_id"]),
             checks.duplicate_groups(down, "DT_DUP_PARENT", ["production_record_id"]),
             checks.extra_rows(p.telemetry, "TELEMETRY_UNIQUE", ["equipment_id", "event_timestamp"]),
             checks.orphans(down, "DT_LINEAGE", "production_record_id", prod, "source_record_id"),
-            checks.orphans(p.fact_quality, "QUALITY_LINEAGE", "production_record_id", prod.filter("reject_quantity > 100"), "source_record_id"),
+            checks.orphans(p.fact_quality, "QUALITY_LINEAGE", "production_record_id", prod, "source_record_id"),
         ],
         warn={"ENERGY_POSITIVE"},
     )
