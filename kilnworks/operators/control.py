@@ -51,6 +51,21 @@ def failure_event(maintenance: DataFrame, downtime: DataFrame) -> DataFrame:
     return events.join(orders, "downtime_event_id")
 
 
+def failure_downtime(downtime: DataFrame, events: DataFrame) -> DataFrame:
+    """Downtime by site and reason: all, unplanned and answered by work orders. Every downtime row counts once; a reason without unplanned downtime has null hours."""
+    linked = events.select(F.col("downtime_event_id").alias("source_record_id"), F.lit(True).alias("_linked")).distinct()
+    hours, unplanned, answered = F.col("duration_min") / 60, ~F.col("planned_flag"), F.col("_linked").isNotNull()
+    return downtime.join(linked, "source_record_id", "left").groupBy("site_id", "failure_reason").agg(
+        F.count("*").alias("event_count"),
+        F.count_if(unplanned).alias("unplanned_count"),
+        F.count_if(answered).alias("linked_count"),
+        F.sum(hours).alias("total_hours"),
+        F.sum(F.when(unplanned, hours)).alias("downtime_hours"),
+        F.sum(F.when(answered, hours)).alias("linked_hours"),
+        F.avg(F.when(unplanned, F.col("duration_min"))).alias("mean_unplanned_min"),
+    )
+
+
 def equipment_reliability(events: DataFrame, production: DataFrame, equipment: DataFrame) -> DataFrame:
     """Failures, repair times, gaps between failures and line exposure of each piece of equipment."""
     order = Window.partitionBy("equipment_id").orderBy("event_start", "downtime_event_id")

@@ -71,9 +71,10 @@ def _tidy(name: str) -> str:
     return f'case when abs({name}) < 1000 then round({name} + 1e-9, 6) else round({name} + 1e-7, 4) end as "{name}"'
 
 
-def query(name: str, columns: str, sql: str | None) -> Callable:
+def query(name: str, columns: str, sql: str | None, more: str = "") -> Callable:
     """Registers a plan under a name. Of the columns, those marked ~ are doubles and rounded on both sides.
 
+    The plan has the columns of `more` besides, which its SQL does not state.
     Engines round exact halves differently; the small number added before rounding keeps values off them.
     """
     names = columns.split()
@@ -83,7 +84,7 @@ def query(name: str, columns: str, sql: str | None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(Plant(spark, sf_dir))
             tidy = lambda c: F.when(F.abs(c) < 1000, F.round(F.col(c) + 1e-9, 6)).otherwise(F.round(F.col(c) + 1e-7, 4)).alias(c)
-            return df.select(*[tidy(c[:-1]) if c.endswith("~") else F.col(c) for c in names])
+            return df.select(*[tidy(c[:-1]) if c.endswith("~") else F.col(c) for c in names + more.split()])
 
         QUERIES[name] = run
         if sql:
@@ -268,7 +269,8 @@ query(
     "site_id failure_reason downtime_hours~ share~ cumulative_share~ pareto_rank",
     """select *, downtime_hours / total share, cumulative / total cumulative_share from (select *, sum(downtime_hours) over (partition by site_id) total, sum(downtime_hours) over w cumulative, cast(row_number() over w as int) pareto_rank
   from (select site_id, failure_reason, sum(downtime_hours) downtime_hours from ev group by 1, 2) d window w as (partition by site_id order by downtime_hours desc nulls last, failure_reason rows unbounded preceding)) r""",
-)(lambda p: production.pareto(events(p).groupBy("site_id", "failure_reason").agg(F.sum("downtime_hours").alias("downtime_hours")), ["site_id"], "downtime_hours", ["failure_reason"]))
+    more="event_count unplanned_count linked_count total_hours~ linked_hours~ mean_unplanned_min~",
+)(lambda p: production.pareto(control.failure_downtime(p.fact_downtime, events(p)), ["site_id"], "downtime_hours", ["failure_reason"]))
 query(
     "v_rel6_failure_burden",
     "equipment_id failure_count downtime_hours~ failure_rank type_rank",
