@@ -1,9 +1,10 @@
 """Packing into optimal length buckets.
 
-The histogram of lengths over all documents has a cell for each length up to `fine` and cells of one 64th of a power
-of two above, so it has some thousand rows at any size of the corpus. Dynamic programming over the cells picks the
-bucket boundaries with the least padding in all. Inside a bucket, documents are numbered and cut into batches whose
-padded size stays within a token budget (a document longer than the budget is a batch of its own).
+The histogram of lengths over all documents has a row for each length that occurs. A corpus of w words has at most
+sqrt(2 w) different lengths, so the histogram of five thousand million words has at most 100,000 rows. Dynamic
+programming over them picks the bucket boundaries with the least padding in all; the first length of the last bucket
+never falls as lengths grow, so each step searches by halves. Inside a bucket, documents are numbered and cut into
+batches whose padded size stays within a token budget (a document longer than the budget is a batch of its own).
 
 Numbers come from counts by hash shard, summed up, and a row number inside each shard; a bucket that holds most
 documents therefore spreads over as many tasks as it has shards.
@@ -30,10 +31,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def cell(length: Column, fine: int = 1024) -> Column:
-    """The histogram cell of a length: itself up to `fine`, else its leading bits."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6)
-    return F.when(length <= fine, length).otherwise((F.ceil(length / step) * step).cast("long"))
+def _extend(best: np.ndarray, top: np.ndarray, rows: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of cells 0 to j with one bucket more than in `best`, and the first cell of its last bucket, for each j of 1 or more.
+
+    The padding fulfils the quadrangle inequality, so the first cell for j lies between those for cells on both sides
+    of j: middles are solved level by level, all of a level at once.
+    """
+    n = len(top)
+    now, first = np.full(n, np.inf), np.full(n, -1, dtype=np.int64)
+    a, b, low, high = (np.array([x], dtype=np.int64) for x in (1, n - 1, 1, n - 1))
+    while len(a):
+        mid = (a + b) // 2
+        size = np.minimum(high, mid) - low + 1
+        ends = np.cumsum(size)
+        starts = ends - size
+        i = np.arange(ends[-1]) - np.repeat(starts - low, size)
+        j = np.repeat(mid, size)
+        value = best[i - 1] + top[j] * (rows[j + 1] - rows[i]) - (total[j + 1] - total[i])
+        least = np.minimum.reduceat(value, starts)
+        at = np.minimum.reduceat(np.where(value == np.repeat(least, size), i, n), starts)
+        now[mid], first[mid] = least, at
+        a, b, low, high = np.concatenate([a, mid + 1]), np.concatenate([mid - 1, b]), np.concatenate([low, at]), np.concatenate([at, high])
+        keep = a <= b
+        a, b, low, high = a[keep], b[keep], low[keep], high[keep]
+    return now, first
 
 
 def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -45,17 +66,10 @@ def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> lis
     rows = np.concatenate([[0.0], np.cumsum([float(c[1]) for c in cells])])
     total = np.concatenate([[0.0], np.cumsum([float(c[2]) for c in cells])])
     n = len(cells)
-    # cost[i, j]: padding of a bucket that holds cells i to j.
-    cost = top[None, :] * (rows[None, 1:] - rows[:-1, None]) - (total[None, 1:] - total[:-1, None])
-    cost[np.tril_indices(n, -1)] = np.inf
-    best, back = cost[0].copy(), [np.zeros(n, dtype=np.int64)]
+    best, back = top * rows[1:] - total[1:], [np.zeros(n, dtype=np.int64)]
     for _ in range(1, min(buckets, n)):
-        via = np.full((n, n), np.inf)
-        via[1:] = best[:-1, None] + cost[1:]
-        first = np.argmin(via, axis=0)
-        now = via[first, np.arange(n)]
-        first = np.where(now < best, first, -1)
-        back.append(first)
+        now, first = _extend(best, top, rows, total)
+        back.append(np.where(now < best, first, -1))
         best = np.minimum(now, best)
     out, j = [], n - 1
     for k in range(len(back) - 1, -1, -1):
@@ -73,9 +87,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: Co
     """doc_id, n_tokens, bucket, bucket_tokens, batch, slot and padding of each row; batches are numbered inside their bucket from 0."""
     length = word_count(F.col(text)) if length is None else length
     sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), length.cast("long").alias("n_tokens")), "lengths")
-    counts = sizes.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens"), F.count("*"), F.sum("n_tokens")).collect()
-    tops = boundaries([tuple(r[1:]) for r in counts], buckets)
-    shards = max(1, -(-sum(r[2] for r in counts) // SHARD_ROWS))
+    counts = sizes.groupBy("n_tokens").count().collect()
+    tops = boundaries([(size, rows, size * rows) for size, rows in counts], buckets)
+    shards = max(1, -(-sum(rows for _, rows in counts) // SHARD_ROWS))
     bucket = F.lit(max(len(tops) - 1, 0))
     limit = F.lit(tops[-1] if tops else 0)
     for k in range(len(tops) - 2, -1, -1):

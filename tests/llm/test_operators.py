@@ -180,6 +180,28 @@ def test_packing_boundaries_are_optimal():
             assert len(tops) <= buckets and cost(tops) == best
 
 
+def test_packing_boundaries_of_long_documents_are_optimal(spark):
+    close = spark.createDataFrame([(k, 1041 + 15 * (k % 2), "") for k in range(20)], "doc_id long, n long, text string")
+    assert packing.pack(close, length=F.col("n"), buckets=2).agg(F.sum("padding")).first()[0] == 0
+    rng = random.Random(6)
+    lengths = [rng.randrange(1025, 9000) for _ in range(300)]
+    table = spark.createDataFrame([(k, n, "") for k, n in enumerate(lengths)], "doc_id long, n long, text string")
+    sizes = sorted(set(lengths))
+    count = Counter(lengths)
+    best = [[0.0] + [float("inf")] * len(sizes)]
+    for _ in range(4):
+        row = [float("inf")]
+        for j in range(1, len(sizes) + 1):
+            pad, least = 0, best[-1][j]
+            for i in range(j, 0, -1):
+                pad += (sizes[j - 1] - sizes[i - 1]) * count[sizes[i - 1]]
+                least = min(least, best[-1][i - 1] + pad)
+            row.append(least)
+        best.append(row)
+    got = packing.pack(table, length=F.col("n"), buckets=4).agg(F.sum("padding"), F.countDistinct("bucket")).first()
+    assert got[0] == best[4][-1] and got[1] == 4
+
+
 def test_packing(docs, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 7)
     rows = packing.pack(docs, budget=300).collect()
