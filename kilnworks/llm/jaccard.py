@@ -5,15 +5,16 @@ has none). Two documents link when 100 * overlap >= percent * union. Equal sets
 nothing after the first pass.
 
 1. Columns (n-grams) get one order for all documents: those found often go last. "Often" is counted within tasks and
-   the first `frequent` of them are taken; the order decides cost alone, never results.
-2. A row's prefix is its first n - ceil(share * n) + 1 columns in that order; linked rows share a prefix column.
-   Rows of a column are combined only where sizes and positions leave room for the overlap that both sizes ask for.
-3. First each class meets, in every column, the first class of another component in some random orders, and is paired
-   with those it meets most often; then all classes of a crowded column meet a few of it. What links is joined to
-   components, so groups of thousands of near copies fall together at a few pairs per class. Last, all pairs of
-   classes in a column that still lie in different components are taken, so no link between components is lost. For
-   every pair the shared columns are accumulated, and it is discarded where they leave too little room.
-4. Overlaps of the pairs left are accumulated from whole sets, for two blocks of classes at a time.
+   the first `FREQUENT` of them are taken; the order decides cost alone, never results.
+2. A row's prefix is its first n - ceil(share * n) + 1 columns in that order; linked rows share a prefix column. In a
+   column only rows whose sizes lie in one run, without a gap that no link can bridge, are kept.
+3. In columns of at most CROWD rows the shared columns of each pair are accumulated, and pairs whose sizes, positions
+   and counts leave too little room are discarded. The rows of a larger column are held together by a star, without
+   pairs. Components of both are blocks: whatever links lies inside one.
+4. A block goes to one task, which accumulates overlaps of whole rows (`incidence.Block`) and returns no more links
+   than join its components. A block of more than BLOCK n-grams is cut by its largest columns; the parts are
+   multiplied with themselves, and then the rows outside the largest component of a column visit the other parts that
+   hold the column. Of two components in a column one is not the largest, so no link between components is lost.
 
 Edge cases: null and empty texts, and texts of white space, have no n-grams and link with nothing; repeated rows are
 one class; an id that stands in several rows with different texts is judged by each text; null ids never name a
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.llm.bytetext import blocks, lower, mix, shingle_sets
 from kilnworks.llm.components import components
+from kilnworks.llm.incidence import Block
 from kilnworks.llm.scratch import cut
 
 PERCENT = 75
@@ -39,14 +41,14 @@ WINDOW = 5
 FREQUENT = 100_000
 #: Distinct sets of a batch that must hold a column before it counts as frequent.
 OFTEN = 8
-#: N-grams of the classes in a block.
-BLOCK = 1 << 22
-#: Classes up to which the list of texts to fetch is broadcast instead of shuffled with the texts.
-FETCH_ROWS = 200_000
-#: The random orders that first partners come from, the partners taken, and the classes of a crowded column that all others meet.
-SEEDS = 4
-PARTNERS = 4
-CROWD = 48
+#: Rows up to which the pairs of a column are counted one by one.
+CROWD = 32
+#: N-grams of one block that a task holds.
+BLOCK = 1 << 20
+#: N-grams from which small blocks are multiplied together.
+TOGETHER = 1 << 16
+#: Rows of a cut column that go to all its parts.
+HUBS = 8
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -135,134 +137,121 @@ def _room(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Colum
     return ((100 + percent) * after >= percent * (nx + ny)) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """The upper six bytes of each hash: two sets of thousands share one by chance with odds of a millionth at most."""
-    return (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _sets_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text, once for each block it takes part in."""
-    for batch in batches:
-        for first, last, data, at in blocks(batch.column(0)):
-            sets = shingle_sets(lower(data), at, WINDOW)
-            lists, nodes, k1, k2 = (batch.column(k).slice(first, last - first).to_pylist() for k in range(1, 5))
-            out: list[tuple] = []
-            for s, node, roles, *key in zip(sets, nodes, lists, k1, k2, strict=True):
-                if set_key(s) == tuple(key):
-                    out += [(r["i"], r["j"], node, _pack(s)) for r in roles]
-            for k in range(0, len(out), 256):
-                i, j, node, raw = zip(*out[k : k + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["i", "j", "a", "raw"])
-
-
-def _overlaps(percent: int):
-    """A function of Arrow batches sorted by block, sets before pairs: the pairs of each block that link."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, {}
-        for batch in batches:
-            a, b = [], []
-            for i, j, x, y, raw in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if (i, j) != block:
-                    block, held = (i, j), {}
-                if raw is not None:
-                    held[x] = _unpack(raw)
-                    continue
-                s, t = held[x], held[y]
-                spot = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                shared = int((s[spot] == t).sum())
-                if 100 * shared >= percent * (len(s) + len(t) - shared):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows
-
-
-def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose whole sets link.
-
-    Classes are dealt into blocks of about BLOCK n-grams; a set goes once to each pair of blocks in which it has a pair.
-    """
-    pairs = cut(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    size = ends.join(nodes, "node").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    block = lambda k: F.pmod(F.xxhash64(k), F.lit(-(-size // BLOCK) or 1))
-    dealt = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
-    roles = dealt.select(F.col("a").alias("node"), "i", "j").union(dealt.select("b", "i", "j")).distinct().groupBy("node").agg(F.collect_list(F.struct("i", "j")).alias("roles"))
-    fetch = cut(roles.join(nodes, "node").select("node", "k1", "k2", "roles", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("copy")), "fetch")
-    texts = docs.withColumn("copy", F.xxhash64("text"))
-    small = F.broadcast(fetch) if fetch.count() <= FETCH_ROWS else fetch
-    found = texts.join(small, ["copy"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = found.select("text", "roles", "node", "k1", "k2").mapInArrow(_sets_for, "i long, j long, a long, raw binary")
-    both = sets.select("i", "j", "a", F.lit(None).cast("long").alias("b"), "raw").union(dealt.select("i", "j", "a", "b", F.lit(None).cast("binary")))
-    return cut(both.repartition("i", "j").sortWithinPartitions("i", "j", F.col("raw").isNull()).mapInArrow(_overlaps(percent), "a long, b long"), "found")
-
-
-def _mixed(members: DataFrame, joined: DataFrame, seeds: list[int], percent: int) -> DataFrame:
-    """Members of the columns that still hold several components, with `seeds` partners of another component each (or null)."""
+def _shared(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """h, run, node, n, pos and many for each prefix column that classes of like size share; many is the rows of the run."""
     column = Window.partitionBy("h")
-    df = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    df = df.withColumns({"lo": F.min("component").over(column), "hi": F.max("component").over(column)}).filter("lo != hi").drop("lo", "hi")
-    me = lambda s: F.struct(F.xxhash64(F.lit(s), "node").alias("rank"), "node", "component", "n")
-    df = df.withColumns({f"first{s}": F.min(me(s)).over(column) for s in seeds})
-    other = lambda s: F.min(F.when(F.col("component") != F.col(f"first{s}.component"), me(s))).over(column)
-    df = df.withColumns({f"other{s}": other(s) for s in seeds})
-    chosen = [F.when(F.col("component") == F.col(f"first{s}.component"), F.col(f"other{s}")).otherwise(F.col(f"first{s}")) for s in seeds]
-    fits = lambda o: 100 * F.least(F.col("n"), o["n"]) >= percent * F.greatest(F.col("n"), o["n"])
-    return df.select("h", "node", "component", "n", "pos", F.array_distinct(F.array_compact(F.array(F.lit(None).cast("long"), *[F.when(fits(o), o["node"]) for o in chosen]))).alias("partners"))
-
-
-def _hopeful(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of rows (a, b, na, nb, pa, pb) for each column that two classes share: the pairs whose accumulated columns leave room for a link."""
+    found = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, at long")
+    found = found.withColumns({"lo": F.min("k1").over(column), "hi": F.max("k1").over(column)}).filter("lo != hi").drop("lo", "hi")
+    by_size = column.orderBy("n", "k1")
+    found = found.withColumn("n", F.shiftright("at", 32).cast("int"))
+    found = found.withColumns({"before": F.lag("n").over(by_size), "twin": F.coalesce(F.lag("k1").over(by_size) == F.col("k1"), F.lit(False))})
+    gap = F.coalesce((100 * F.col("before").cast("long") < percent * F.col("n")).cast("int"), F.lit(0))
+    found = found.withColumn("run", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("NOT twin")
+    found = found.withColumn("many", F.count("*").over(Window.partitionBy("h", "run"))).filter("many > 1")
+    found = found.join(nodes.select("k1", "node"), "k1")
+    return cut(found.select("h", "run", "node", "n", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "many"), "columns")
+
+
+def _hopeful(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that meet in small columns only and whose accumulated columns leave room for a link."""
+    few = shared.filter(F.col("many") <= CROWD).drop("many")
+    side = lambda k: few.select("h", "run", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
+    like = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb")
+    met = side("a").join(side("b"), ["h", "run"]).filter((F.col("a") < F.col("b")) & like)
     room = _room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
-    made = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"))
+    made = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"))
     # Beyond the columns counted, a pair can share what follows the last of them, and no more than one side's columns outside its prefix.
     outside = F.greatest(*[F.ceil(F.col(k) * percent / 100) - 1 for k in ("na", "nb")])
     most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), outside)
     return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-def _counted(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The hopeful ones of some pairs, by all columns that they share."""
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda k: members.select(F.col("node").alias(k), "h", F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
-    return _hopeful(pairs.join(side("a"), "a").join(side("b"), ["b", "h"]), percent)
+def _stars(shared: DataFrame) -> DataFrame:
+    """The rows of each crowded column, tied to the least of them."""
+    crowded = shared.filter(F.col("many") > CROWD).select("h", "run", "node")
+    least = crowded.groupBy("h", "run").agg(F.min("node").alias("b"))
+    return crowded.join(least, ["h", "run"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _partners(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class with the partners it meets most often."""
-    met = members.select("node", F.explode("partners").alias("other")).groupBy("node", "other").agg(F.count("*").alias("c"))
-    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), False), 1, PARTNERS).alias("best"))
-    return _counted(best.select("node", F.explode("best.other").alias("other")), members, percent)
+def _products(percent: int):
+    """A function of Arrow batches sorted by block: the pairs (a, b) that join the components of each block."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, guests, size = None, {}, False, 0
 
-def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Classes of different components in a column of both sides, where sizes and positions leave room for a link."""
-    x, y = x.alias("x"), y.alias("y")
-    room = _room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & room)
-    return met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                names = list(held)
+                block = Block([held[x][0] for x in names], np.array([held[x][1] for x in names]), percent)
+                made = block.links(np.array([held[x][2] for x in names]) if guests else None)
+                if made:
+                    x = np.array(names)[np.array(made)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
+        for batch in batches:
+            for first, last, data, at in blocks(batch.column(0)):
+                sets = shingle_sets(lower(data), at, WINDOW)
+                lists = [batch.column(k).slice(first, last - first).to_pylist() for k in range(1, 8)]
+                for s, node, label, k1, k2, g1, g2, guest in zip(sets, *lists, strict=True):
+                    # Blocks with guests stay apart; others are multiplied together while they are small.
+                    if (g1, g2) != key and (guest is not None or size >= TOGETHER):
+                        yield from flush()
+                        held, size = {}, 0
+                    key, guests = (g1, g2), guest is not None
+                    if node not in held and set_key(s) == (k1, k2):
+                        held[node] = (s, label, guest)
+                        size += len(s)
+        yield from flush()
+
+    return rows
 
-def _crowded(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of all classes in a crowded column with some of it: the CROWD classes that come first in a random order."""
-    column = Window.partitionBy("h")
-    ranked = members.withColumns({"many": F.count("*").over(column), "place": F.row_number().over(column.orderBy(F.xxhash64("node"), "node"))})
-    crowded = ranked.filter(F.col("many") > CROWD)
-    return _counted(_meet(crowded, crowded.filter(F.col("place") <= CROWD), percent), members, percent)
 
+def _links(docs: DataFrame, roles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links inside the blocks that roles (node, label, g1, g2, guest) name; guest is null where all pairs of a block count."""
+    fetch = roles.join(nodes, "node").select("node", "label", "k1", "k2", "g1", "g2", "guest", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("of"))
+    texts = docs.withColumn("copy", F.xxhash64("text"))
+    # Hashed at every size: a plan that depends on the size of the list would be another one at scale.
+    found = texts.join(fetch.hint("shuffle_hash"), (F.col("copy") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    found = found.select("text", "node", "label", "k1", "k2", "g1", "g2", "guest").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    return cut(found.mapInArrow(_products(percent), "a long, b long"), "found")
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in different components of a column."""
-    return _counted(_meet(members, members, percent).filter("node < other"), members, percent)
+
+def _parts(shared: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n, component, part) of the blocks that are cut, and the hubs (node, component, part) that go to other parts.
+
+    Each row follows the largest column within two steps of it; the rows of one such column are one part, or are dealt
+    into several that get the same hubs.
+    """
+    rank = F.struct("many", "h", "run")
+    rows = shared.join(wide, "node").select("node", "n", "component", "h", "run", rank.alias("rank"))
+    top = rows.groupBy("node").agg(F.max("rank").alias("top"))
+    best = rows.join(top, "node").groupBy("h", "run").agg(F.max("top").alias("best"))
+    led = rows.join(best, ["h", "run"]).groupBy("node", "n", "component").agg(F.max("best").alias("lead"))
+    led = led.withColumn("lead", F.xxhash64("component", "lead"))
+    order = lambda s: F.min(F.struct(F.xxhash64(F.lit(s), "node"), F.col("node").alias("node")))["node"]
+    held = led.groupBy("component", "lead").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"), F.array_distinct(F.array(*[order(s) for s in range(HUBS)])).alias("hubs"))
+    home = led.join(held.select("lead", "parts"), "lead").select("node", "n", "component", F.xxhash64("lead", F.pmod(F.xxhash64("node"), "parts")).alias("part"))
+    hubs = held.filter("parts > 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hubs = hubs.select(F.explode("hubs").alias("node"), "component", F.xxhash64("lead", F.col("k").cast("long")).alias("part"))
+    return cut(home, "home"), cut(hubs, "hubs")
+
+
+def _visits(shared: DataFrame, home: DataFrame, joined: DataFrame) -> DataFrame:
+    """Roles of the second step: rows outside the largest component of a column visit the other parts that hold it."""
+    home = home.join(joined.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = shared.select("h", "run", "node").join(home, "node")
+    by = rows.groupBy("h", "run", "label").agg(F.count("*").alias("c"))
+    mixed = by.groupBy("h", "run").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label"))["label"].alias("main")).filter("labels > 1").drop("labels")
+    rows = cut(rows.join(mixed, ["h", "run"]), "mixed")
+    spots = rows.select("h", "run", "component", F.col("part").alias("other")).distinct()
+    guests = rows.filter("label != main").drop("component").join(spots, ["h", "run"]).filter("part != other").select("node", "n", "label", "component", F.col("other").alias("part")).distinct()
+    guests = cut(guests, "guests")
+    sizes = guests.groupBy("component", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    placed = guests.join(sizes, ["component", "part"]).withColumn("k", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    hosts = rows.select("node", "label", "component", "part").distinct().join(sizes, ["component", "part"])
+    hosts = hosts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    role = lambda df, guest: df.select("node", "label", F.col("component").alias("g1"), F.xxhash64("part", "k").alias("g2"), F.lit(guest).alias("guest"))
+    return role(placed, True).union(role(hosts, False))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -279,18 +268,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers of this table, fixed once written
 
-    column = Window.partitionBy("h")
-    columns = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, at long")
-    shared = columns.withColumns({"lo": F.min("k1").over(column), "hi": F.max("k1").over(column)}).filter("lo != hi").select("h", "k1", "at").distinct()
-    shared = shared.join(nodes.select("k1", "node"), "k1").select("h", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-    shared = cut(shared, "columns")
-
-    links, joined, members = None, nodes.select("node", F.col("node").alias("component")).limit(0), shared
-    for choose, seeds in ((_partners, SEEDS), (_crowded, 0), (_across, 0)):
-        members = cut(_mixed(members.select("h", "node", "n", "pos"), joined, list(range(seeds)), percent), "mixed")
-        found = _links(docs, choose(members, percent), nodes, percent)
-        links = found if links is None else links.union(found)
-        joined = cut(components(links), "joined")
+    shared = _shared(docs, nodes, frequent, percent)
+    held = cut(components(_hopeful(shared, percent).union(_stars(shared))).join(nodes.select("node", "n"), "node"), "blocks")
+    wide = held.groupBy("component").agg(F.sum("n").alias("size")).filter(F.col("size") > BLOCK).select("component")
+    wide = cut(held.join(wide, "component").select("node", "component"), "wide")
+    alone = F.lit(None).cast("boolean").alias("guest")
+    roles = held.join(wide.select("component").distinct(), "component", "left_anti").select("node", F.col("node").alias("label"), F.col("component").alias("g1"), F.lit(0).cast("long").alias("g2"), alone)
+    if wide.isEmpty():
+        links = _links(docs, roles, nodes, percent)
+    else:
+        home, hubs = _parts(shared, wide)
+        dealt = home.select("node", "component", "part").union(hubs).distinct()
+        roles = roles.union(dealt.select("node", F.col("node").alias("label"), "component", "part", alone))
+        links = _links(docs, roles, nodes, percent)
+        links = links.union(_links(docs, _visits(shared, home, cut(components(links), "joined")), nodes, percent))
+    joined = cut(components(links), "joined")
 
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.min("rep").alias("head"))

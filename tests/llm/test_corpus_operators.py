@@ -85,8 +85,12 @@ def components(texts):
     return sets, [find(k) for k in range(len(sets))]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_matches_brute_force(spark, docs, texts, seed):
+@pytest.mark.parametrize("seed, crowd, block", [(1, 32, 1 << 20), (2, 4, 1 << 20), (3, 4, 150), (4, 2, 400)])
+def test_jaccard_join_matches_brute_force(spark, docs, texts, seed, crowd, block, monkeypatch):
+    """With small columns only, with crowded ones, and with blocks that are cut into parts with hubs and guests."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
     rng = random.Random(seed)
     base = [f"w{rng.randrange(50)}" for _ in range(40)]
     near = []
@@ -95,6 +99,8 @@ def test_jaccard_join_matches_brute_force(spark, docs, texts, seed):
         for _ in range(rng.randrange(4)):
             words[rng.randrange(len(words))] = f"e{rng.randrange(1000)}"
         near.append(" ".join(words))
+    chain = [" ".join(f"c{k + j}" for j in range(40)) for k in range(0, 60, 3)]
+    near += chain
     every = [*(r.text for r in docs.orderBy("doc_id").collect()), *near]
     table = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
     sets, found = components(every)
