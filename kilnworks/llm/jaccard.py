@@ -6,8 +6,11 @@ nothing after the first pass.
 
 1. Columns (n-grams) get one order for all documents: those found often go last. "Often" is counted within tasks and
    the first `FREQUENT` of them are taken; the order decides cost alone, never results.
-2. A row's prefix is its first n - ceil(share * n) + 1 columns in that order; linked rows share a prefix column. In a
-   column only rows whose sizes lie in one run, without a gap that no link can bridge, are kept.
+2. A row's prefix is its first n - ceil(share * n) + 1 columns in that order, and all its low ones (not frequent, hash
+   in the first LOW of the range); linked rows share a prefix column. In a column only rows whose sizes lie in one
+   run, without a gap that no link can bridge, are kept. A low column of a row that no other row of the run has is
+   missing from every partner, and a link leaves room for a quarter of a row at most, less if the partner misses some
+   too: rows that miss more are taken out, and a row stays in a column only while some row there makes up for it.
 3. In columns of at most CROWD rows the shared columns of each pair are accumulated, and pairs whose sizes, positions
    and counts leave too little room are discarded. The rows of a larger column are held together by a star, without
    pairs. Components of both are blocks: whatever links lies inside one.
@@ -43,6 +46,10 @@ FREQUENT = 100_000
 OFTEN = 8
 #: Rows up to which the pairs of a column are counted one by one.
 CROWD = 32
+#: The share of all hashes that every prefix covers: more than a row may miss, so that rows that share little are seen.
+LOW = 0.3
+#: Rounds in which rows that miss too many low columns are taken out.
+ROUNDS = 2
 #: N-grams of one block that a task holds.
 BLOCK = 1 << 20
 #: N-grams from which small blocks are multiplied together.
@@ -105,28 +112,35 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequent: np.ndarray, percent: int):
-    """A function of Arrow batches of texts: (h, k1, size and position) of each prefix column, once for each class of a task."""
+    """A function of Arrow batches of texts: h, k1, size and position (of a low column less 2^31), low columns of the row, for each prefix column once for each class of a task."""
+    limit = np.uint64(int(LOW * 2**64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, data, at in blocks(batch.column(0)):
-                hs, ks, ps = [], [], []
+                hs, ks, ps, ls = [], [], [], []
                 for s in shingle_sets(lower(data), at, WINDOW):
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
                     seen.add(key)
                     n = len(s)
-                    keep = n - -(-percent * n // 100) + 1
                     if len(frequent):
                         spot = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         often = frequent[spot] == s
+                        low = int(np.searchsorted(s[~often], limit))
                         s = np.concatenate([s[~often], s[often]])
+                    else:
+                        low = int(np.searchsorted(s, limit))
+                    keep = max(n - -(-percent * n // 100) + 1, low)
+                    place = np.arange(1, keep + 1, dtype=np.int64)
+                    place[:low] |= 1 << 31
                     hs.append(s[:keep])
                     ks.append(np.full(keep, key[0], np.int64))
-                    ps.append((n << 32) + np.arange(1, keep + 1, dtype=np.int64))
+                    ps.append((n << 32) + place)
+                    ls.append(np.full(keep, low, np.int32))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(hs))), *[pa.array(np.concatenate(x)) for x in (ks, ps)]], names=["h", "k1", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(hs))), *[pa.array(np.concatenate(x)) for x in (ks, ps, ls)]], names=["h", "k1", "at", "low"])
 
     return rows
 
@@ -139,17 +153,24 @@ def _room(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Colum
 
 def _shared(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """h, run, node, n, pos and many for each prefix column that classes of like size share; many is the rows of the run."""
-    column = Window.partitionBy("h")
-    found = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, at long")
-    found = found.withColumns({"lo": F.min("k1").over(column), "hi": F.max("k1").over(column)}).filter("lo != hi").drop("lo", "hi")
+    column, run = Window.partitionBy("h"), Window.partitionBy("h", "run")
+    found = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, at long, low int")
+    found = found.withColumns({"first": F.min("k1").over(column), "last": F.max("k1").over(column)}).filter("first != last").drop("first", "last")
     by_size = column.orderBy("n", "k1")
-    found = found.withColumn("n", F.shiftright("at", 32).cast("int"))
+    found = found.withColumn("n", F.shiftright("at", 32))
     found = found.withColumns({"before": F.lag("n").over(by_size), "twin": F.coalesce(F.lag("k1").over(by_size) == F.col("k1"), F.lit(False))})
-    gap = F.coalesce((100 * F.col("before").cast("long") < percent * F.col("n")).cast("int"), F.lit(0))
-    found = found.withColumn("run", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("NOT twin")
-    found = found.withColumn("many", F.count("*").over(Window.partitionBy("h", "run"))).filter("many > 1")
+    gap = F.coalesce((100 * F.col("before") < percent * F.col("n")).cast("int"), F.lit(0))
+    found = found.withColumn("run", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("NOT twin").drop("before", "twin", "n")
+    found = found.withColumn("many", F.count("*").over(run)).filter("many > 1").drop("many")
+    n, is_low = F.shiftright("at", 32), F.shiftright("at", 31).bitwiseAND(1)
+    for _ in range(ROUNDS):
+        missing = F.col("low") - F.sum(is_low).over(Window.partitionBy("k1"))
+        found = found.withColumn("missing", missing).filter(100 * F.col("missing") <= (100 - percent) * n)
+        found = found.withColumn("slack", (100 - percent) * n - (100 + percent) * F.col("missing")).drop("missing")
+        found = found.withColumn("most", F.max("slack").over(run)).filter("slack >= 0 OR slack + most >= 0").drop("slack", "most")
+        found = found.withColumn("many", F.count("*").over(run)).filter("many > 1")
     found = found.join(nodes.select("k1", "node"), "k1")
-    return cut(found.select("h", "run", "node", "n", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "many"), "columns")
+    return cut(found.select("h", "run", "node", n.cast("int").alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).cast("int").alias("pos"), "many"), "columns")
 
 
 def _hopeful(shared: DataFrame, percent: int) -> DataFrame:
