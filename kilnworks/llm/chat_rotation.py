@@ -8,6 +8,8 @@ A dialogue is rendered in parts of PART_TURNS turn numbers, so that a conversati
 is spread over many tasks; `start` is where a part begins in the whole rendering, and parts joined in order are the
 whole. Masks count from the start of the whole.
 
+No text or name can forge a turn: "<|" and "|>" inside of them become "< |" and "| >" before anything is rendered.
+
 Edge cases: repeated rows (same conversation, turn, role and text) are one message; messages that share a turn number
 stand in order of role, then text; a null text is empty, a null role is "unknown", a null turn comes first, null
 conversations are one conversation; a conversation of system turns alone gives no rows; other columns are not read.
@@ -16,7 +18,7 @@ conversations are one conversation; a conversation of system turns alone gives n
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 256
@@ -25,13 +27,18 @@ END = "<|end|>\n"
 FIRST_TURN = -(1 << 62)
 
 
+def _plain(words: Column) -> Column:
+    """Words without the marks of turns."""
+    return F.replace(F.replace(words, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
     """conv_id, speaker, part, start, n_turns, text and masks (array of start and end) of each part of each perspective."""
     rows = turns.select(
         F.col(conv_id).alias("conv_id"),
         F.coalesce(F.col(turn).cast("long"), F.lit(FIRST_TURN)).alias("turn"),
-        F.coalesce(role, F.lit("unknown")).alias("role"),
-        F.coalesce(text, F.lit("")).alias("text"),
+        _plain(F.coalesce(role, F.lit("unknown"))).alias("role"),
+        _plain(F.coalesce(text, F.lit(""))).alias("text"),
     ).distinct()
     rows = rows.withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
     speakers = rows.filter(~F.col("role").isin(*SYSTEM)).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()

@@ -4,11 +4,11 @@ Words are runs of letters and digits in lower case; an item is the set of its ru
 if it has fewer). Items are partitioned by the size of that set into powers of two. Each item keeps a MinHash
 sketch: the k shingles of smallest hash, k fixed by its partition's largest size so that a document that holds the
 asked share of the item must hold one of them (if at most a quarter of u shingles may be absent, k is a quarter of
-u plus one). A document's shingles are looked up among the items' shingles; items with a sketch hit are candidates,
-and a candidate counts if the exact share of its shingles inside the document reaches the threshold.
+u plus one). A document's shingles are looked up among the sketches alone; what is hit is a candidate, and a
+candidate counts if the exact share of the item's shingles inside the document reaches the threshold.
 
-The lookup table grows with the benchmark alone. It is broadcast only while it has at most `broadcast_rows` rows;
-beyond that the same join shuffles.
+The table of sketches grows with the benchmark alone and has three numbers in a row. It is broadcast only while the
+items have at most `broadcast_rows` shingles (24 MB of numbers); beyond that the same join shuffles.
 
 Edge cases: null or empty documents and items without a word match nothing; repeated documents each match; rows that
 share a doc_id with different texts are judged apart, and the id is returned once for each; repeated items with an
@@ -55,13 +55,20 @@ def find_items(
     sizes = {r["size"]: r["count"] for r in table.groupBy("size").count().collect()}  # a row for each shingle size, five at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], T.StructType(MATCHES.fields + [T.StructField("copy", T.LongType())] * with_copy))
-    df = _tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
-    df = df.withColumn("copy", F.xxhash64("_text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("copy", F.xxhash64("_text"))
     sized = lambda n: F.transform(window_hashes(F.col("_words"), F.col("_n"), n), lambda h: F.struct(F.lit(n).alias("size"), h.alias("h")))
     made = [sized(n) for n in sorted(sizes)]
-    found = df.select("doc_id", "copy", F.explode(made[0] if len(made) == 1 else F.concat(*made)).alias("s")).select("doc_id", "copy", "s.size", "s.h")
-    table = F.broadcast(table) if sum(sizes.values()) <= broadcast_rows else table
-    hits = found.join(table, ["size", "h"]).groupBy("doc_id", "copy", "item", "item_id", "n_item", "h").agg(F.max("in_sketch").alias("in_sketch"))
-    pairs = hits.groupBy("doc_id", "copy", "item", "item_id", "n_item").agg(F.count("*").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-    pairs = pairs.filter("candidate").withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
+    probes = _tokens(texts, "_text").select("doc_id", "copy", F.explode(made[0] if len(made) == 1 else F.concat(*made)).alias("s")).select("doc_id", "copy", "s.size", "s.h")
+    sketches = table.filter("in_sketch").select("size", "h", "item")
+    sketches = F.broadcast(sketches) if sum(sizes.values()) <= broadcast_rows else sketches
+    candidates = probes.join(sketches, ["size", "h"]).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy_of"), "item").distinct()
+    # Texts are read again for candidates alone, and their shares counted exactly.
+    wanted = table.groupBy("item", "item_id", "size", "n_item").agg(F.collect_set("h").alias("_wanted"))
+    again = candidates.join(wanted, "item").hint("shuffle_hash")
+    pairs = texts.join(again, (F.col("copy") == F.col("_copy_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id", "copy", "item"])
+    there = F.lit(None).cast("array<bigint>")
+    for n in sizes:
+        there = F.when(F.col("size") == n, window_hashes(F.col("_words"), F.col("_n"), n)).otherwise(there)
+    pairs = _tokens(pairs, "_text").withColumn("n_shared", F.size(F.array_intersect(there, "_wanted")).cast("long"))
+    pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
     return pairs.select(*MATCHES.names, *["copy"] * with_copy)

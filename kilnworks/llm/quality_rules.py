@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.llm.native_text import window_hashes, words
+from kilnworks.llm.names import whole_row
 from kilnworks.llm.scratch import cut
 
 # The commonest function words of each language.
@@ -141,7 +142,8 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limits:
     """
     limits = limits or Limits()
     carry = [x for x in (docs.columns if carry is None else carry) if x not in RESULTS]
-    measured = cut(measure(docs, text, lang, limits).select(*carry, *RESULTS[:5], "_lang", "_chars", "_common"), "quality")
+    rows = docs.select(whole_row(carry).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    measured = cut(measure(rows, limits=limits).select("row", *RESULTS[:5], "_lang", "_chars", "_common"), "quality")
     df = measured.join(F.broadcast(language_references(measured)), "_lang", "left")
     distance = lambda mine, ref: F.when(F.size(mine) == F.size(ref), jensen_shannon(F.col(mine), F.col(ref)))
     df = df.withColumns(
@@ -152,4 +154,4 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", limits:
         }
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.max_word_distance)
-    return df.withColumn("kept", ~F.col("base_failed") & near).select(*carry, *RESULTS)
+    return df.withColumn("kept", ~F.col("base_failed") & near).select(*[F.col("row")[c].alias(c) for c in carry], *RESULTS)

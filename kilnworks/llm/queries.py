@@ -134,7 +134,7 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, m.least) component
 """
 
 OP4_SQL = """
-with m as (select distinct conv_id, coalesce(turn, -(1::bigint << 62)) turn, coalesce(role, 'unknown') role, coalesce(text, '') text from conversations),
+with m as (select distinct conv_id, coalesce(turn, -(1::bigint << 62)) turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') role, replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') text from conversations),
 p as (select *, cast(floor(turn / 256) as bigint) part from m),
 v as (select p.*, speaker, case when role = speaker then '<|assistant|>' when role = 'system' then '<|system|>' else '<|user name=' || role || '|>' end || chr(10) head
   from p join (select distinct conv_id c, role speaker from m where role <> 'system') s on p.conv_id is not distinct from s.c),

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kilnworks.llm.names import unused
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose counts a task remembers.
@@ -113,5 +115,7 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, out: s
             found = [WORD.findall(t) if t else [] for t in texts]
             yield pd.DataFrame({"n_tokens": [sum(map(known.__getitem__, w)) for w in found], "n_words": list(map(len, found))}, dtype="int64")
 
-    made = docs.drop(out, words_out).withColumn("_counts", counts(F.col(text)))
-    return made.withColumns({out: F.col("_counts.n_tokens"), words_out: F.col("_counts.n_words")}).drop("_counts")
+    kept = docs.drop(out, words_out)
+    both = unused("counts", docs)
+    made = docs.withColumn(both, counts(F.col(text)))
+    return made.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(both)["n_tokens"].alias(out), F.col(both)["n_words"].alias(words_out))

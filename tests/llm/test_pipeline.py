@@ -1,6 +1,7 @@
 """The pipeline's stages on a small folder, stage by stage against brute force."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kilnworks.llm import jaccard
@@ -43,3 +44,18 @@ def test_one_of_each_group_stays(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     groups = jaccard.near_duplicates(docs).filter("n_shingles > 0").select("component_id").distinct().count()
     assert corpus_pipeline.one_of_each(spark, docs, folder).filter("text IS NOT NULL").count() == groups
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    helpers = ["_copy", "_spans", "_id", "_copy_of", "n_words", "kept", "row", "key", "copy", "id"]
+    named = docs.select(*docs.columns, *[F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in helpers])
+    long = named.filter("doc_id = 7").withColumns({"doc_id": F.lit(500).cast("long"), "text": F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30000)), lambda k: F.concat(F.lit("the w"), k, F.lit(" of kiln"), 7 * k, F.lit(" and glaze"), k)))})
+    named = named.union(long)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        named = stage(spark, named, folder).cache()
+        for r in named.collect():
+            assert all(r[c] == c + str(7 if r.doc_id == 500 else r.doc_id) for c in helpers)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert {r.doc_id for r in named.collect()} >= {500}
+    assert corpus_pipeline.packed(spark, docs.limit(0), folder).count() == 0
