@@ -1,43 +1,63 @@
-"""From raw documents to packed batches: quality, near duplicates, benchmark leaks, secrets, packing."""
+"""From raw documents to packed batches: quality, near duplicates, benchmark leaks, secrets, packing.
+
+Edge cases, for every stage: rows travel as one struct beside their key, so further columns of documents, whatever
+their names, come out as they went in; an empty table gives an empty one; rows that share a doc_id, or have none, are
+judged by their own texts. A null or empty text fails the quality rules; further on it is nobody's duplicate, leak or
+secret, and has length 0. Of repeated rows (same doc_id and text) the near-duplicate stage keeps one. Ties between
+near duplicates go to the least doc_id, then the least hash of the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnworks.llm import decontaminate, jaccard, packing, quality_rules, secrets
+from kilnworks.llm.names import whole_row
 from kilnworks.llm.scratch import cut
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+def _back(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of documents out of the structs of rows."""
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_copy", F.xxhash64("text"))
+    """row, id, copy (hash of the text) and key (of both) of each document."""
+    rows = docs.select(whole_row(docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("copy"))
+    return rows.withColumn("key", F.xxhash64("id", "copy"))
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """The keys of a list of (doc_id, copy)."""
+    return found.select(F.xxhash64("doc_id", "copy").alias("key")).distinct()
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    rows = docs.select(whole_row(docs.columns).alias("row"), "text", "lang")
+    return _back(quality_rules.apply_rules(rows, carry=["row"]).filter("kept"), docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least id."""
-    groups = jaccard.near_duplicates(docs)
-    stay = groups.filter("representative").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy_of")).distinct()
-    kept = _keyed(docs).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_copy_of")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_copy"]).select(*docs.columns)
+    stay = _listed(jaccard.near_duplicates(docs).filter("representative"))
+    # Both steps deal rows by their key, so texts are shuffled once.
+    return _back(_keyed(docs).join(stay, "key", "left_semi").dropDuplicates(["key", "id", "copy"]), docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_copy=True)
-    leaks = found.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy_of")).distinct()
-    return _keyed(docs).join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_copy_of")), "left_anti").select(*docs.columns)
+    return _back(_keyed(docs).join(_listed(found), "key", "left_anti"), docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    found = secrets.find_spans(docs, out="_spans")
-    covered = found.withColumn("text", secrets.redact(F.col("text"), F.col("_spans")))
-    return covered.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secrets.find_spans(docs.select(whole_row(docs.columns).alias("row"), "text"))
+    found = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return _back(found, docs.columns, text=F.col("text"), n_chars=n_chars)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
