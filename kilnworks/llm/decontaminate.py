@@ -66,9 +66,11 @@ def find_items(
     wanted = table.groupBy("item", "item_id", "size", "n_item").agg(F.collect_set("h").alias("_wanted"))
     again = candidates.join(wanted, "item").hint("shuffle_hash")
     pairs = texts.join(again, (F.col("copy") == F.col("_copy_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id", "copy", "item"])
-    there = F.lit(None).cast("array<bigint>")
+    there = F.array().cast("array<bigint>")
     for n in sizes:
         there = F.when(F.col("size") == n, window_hashes(F.col("_words"), F.col("_n"), n)).otherwise(there)
-    pairs = _tokens(pairs, "_text").withColumn("n_shared", F.size(F.array_intersect(there, "_wanted")).cast("long"))
-    pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
-    return pairs.select(*MATCHES.names, *["copy"] * with_copy)
+    # A row for each hash: an array compared in place would be worked out again wherever the planner repeats it.
+    held = _tokens(pairs, "_text").select("doc_id", "copy", "item", "item_id", "n_item", "_wanted", F.explode(there).alias("h"))
+    shared = held.filter(F.array_contains("_wanted", F.col("h"))).groupBy("doc_id", "copy", "item", "item_id", "n_item").agg(F.countDistinct("h").alias("n_shared"))
+    shared = shared.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
+    return shared.select(*MATCHES.names, *["copy"] * with_copy)
