@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,22 @@ def summary(res: DataFrame) -> DataFrame:
     """One row: rules by status and the share of evaluated rows that passed."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
     return res.agg(F.count("*").alias("rules"), count("PASS"), count("WARN"), count("FAIL"), (1 - F.sum("failed") / F.sum("evaluated")).alias("score"))
+
+
+def domain_summary(res: DataFrame) -> DataFrame:
+    """Rules by status and the share of evaluated rows that passed, for each domain."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
+    made = res.groupBy("domain").agg(F.count("*").alias("rules"), count("PASS"), count("WARN"), count("FAIL"), F.sum("evaluated").alias("evaluated"), F.sum("failed").alias("failed"))
+    return made.withColumn("score", 1 - F.col("failed") / F.col("evaluated"))
+
+
+def with_runs(res: DataFrame) -> DataFrame:
+    """Results of an earlier run, in which nothing was evaluated, and of the present one, told apart by run."""
+    before = res.withColumns({"evaluated": F.lit(0).cast("long"), "failed": F.lit(0).cast("long"), "status": F.lit("PASS"), "run": F.lit(1)})
+    return before.unionByName(res.withColumn("run", F.lit(2)))
+
+
+def latest(res: DataFrame, run: str = "run") -> DataFrame:
+    """The result of the last run of each rule."""
+    order = Window.partitionBy("rule_code").orderBy(F.desc(run))
+    return res.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")

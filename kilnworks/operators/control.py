@@ -86,12 +86,35 @@ def equipment_reliability(events: DataFrame, production: DataFrame, equipment: D
 
 
 def equipment_type_summary(kpi: DataFrame) -> DataFrame:
+    """Reliability by site and type; means leave out equipment that never failed, or failed once where gaps are asked."""
     some = F.col("failure_count") > 0
-    return kpi.groupBy("equipment_type").agg(
-        F.count("*").alias("equipment_count"), F.count_if(some).alias("failed_count"), F.sum("failure_count").alias("failure_count"), F.avg(F.when(some, F.col("mttr_hours"))).alias("mean_mttr_hours"), F.avg(F.when(F.col("failure_count") > 1, F.col("mean_gap_hours"))).alias("mean_gap_hours")
+    return kpi.groupBy("site_id", "equipment_type").agg(
+        F.count("*").alias("equipment_count"),
+        F.count_if(some).alias("failed_count"),
+        F.sum("failure_count").alias("failure_count"),
+        F.sum("work_order_count").alias("work_order_count"),
+        F.sum("downtime_hours").alias("downtime_hours"),
+        F.avg(F.when(some, F.col("mttr_hours"))).alias("mean_mttr_hours"),
+        F.avg(F.when(F.col("failure_count") > 1, F.col("mean_gap_hours"))).alias("mean_gap_hours"),
+        F.avg("mtbf_hours").alias("mean_mtbf_hours"),
+        F.avg("failures_per_1000_hours").alias("mean_failures_per_1000_hours"),
+        F.avg("availability_proxy").alias("mean_availability"),
     )
 
 
+def _rank_of_values(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with the dense rank of a value, greatest first: distinct values are ranked and joined back, so no task sorts all rows."""
+    df = df.withColumn("_value", value)
+    values = df.select("_value").distinct().withColumn(name, F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_value").desc_nulls_last())))
+    return df.join(values.withColumnRenamed("_value", "_ranked"), F.col("_value").eqNullSafe(F.col("_ranked")), "left").drop("_value", "_ranked")
+
+
+def failure_burden(kpi: DataFrame) -> DataFrame:
+    """Equipment that has failed, ranked by downtime (to a millionth of an hour) and by failures."""
+    failed = kpi.filter(F.col("failure_count") > 0).withColumn("hours_per_failure", ratio("downtime_hours", "failure_count"))
+    return _rank_of_values(_rank_of_values(failed, F.round("downtime_hours", 6), "burden_rank"), F.col("failure_count"), "frequency_rank")
+
+
 def monthly_reliability(events: DataFrame, production: DataFrame, by: str) -> DataFrame:
     """Failures against operating hours by month of the production shift; months without a failure count 0."""
     month = F.trunc("timestamp_start", "MM").alias("month")

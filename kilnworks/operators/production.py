@@ -144,8 +144,16 @@ def changeover_summary(downtime: DataFrame) -> DataFrame:
 
 
 def site_benchmark(lines: DataFrame) -> DataFrame:
-    """Plain mean, least and greatest OEE of the lines of each site (a mean of ratios on purpose)."""
-    return lines.groupBy("site_id").agg(F.count("*").alias("line_count"), F.avg("oee").alias("mean_line_oee"), F.min("oee").alias("least_line_oee"), F.max("oee").alias("most_line_oee"))
+    """Plain means and bounds of the lines of each site (means of ratios on purpose), and the site's quantities."""
+    mean = {"mean_line_oee": F.col("oee"), "mean_line_attainment": F.col("production_attainment"), "mean_line_good_attainment": ratio("good_quantity", "planned_quantity"), "mean_line_utilization": F.col("gross_capacity_utilization")}
+    sums = ["planned_quantity", "actual_quantity", "good_quantity", "reject_quantity"]
+    return lines.groupBy("site_id").agg(
+        F.count("*").alias("line_count"),
+        F.min("oee").alias("least_line_oee"),
+        F.max("oee").alias("most_line_oee"),
+        *[F.avg(c).alias(k) for k, c in mean.items()],
+        *[F.sum(c).alias(c) for c in sums],
+    )
 
 
 def technical_opportunity(accounting: DataFrame) -> DataFrame:

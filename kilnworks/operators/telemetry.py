@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnworks.functions.measures import ratio
 from kilnworks.operators.control import HOUR, seconds
 
 
@@ -146,3 +147,21 @@ def classwise_split(df: DataFrame, label: str, order: str, held_out: float = 0.2
     n = F.count("*").over(w)
     first = F.greatest(F.lit(1), F.floor(n * (1 - held_out)))
     return df.withColumn("held_out", F.row_number().over(w.orderBy(order)) > first)
+
+
+def split_by_position(df: DataFrame, entity: str, ts: str, share: float) -> DataFrame:
+    """part of each row: TRAIN for the first share of the rows of an entity by position, CALIBRATION for the rest."""
+    place = F.row_number().over(Window.partitionBy(entity).orderBy(ts))
+    many = F.count("*").over(Window.partitionBy(entity))
+    return df.withColumn("part", F.when(place <= F.floor(share * many), "TRAIN").otherwise("CALIBRATION"))
+
+
+def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: precision at each distinct score, weighted by the recall it adds; null where nothing is positive.
+
+    Rows are summed by score first, so the window that adds them up holds a row for each distinct score.
+    """
+    by = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    made = by.withColumns({"hits": F.sum("pos").over(down), "seen": F.sum("n").over(down), "total": F.sum("pos").over(Window.partitionBy(F.lit(0)))})
+    return made.agg(F.sum(ratio("pos", "total") * F.col("hits") / F.col("seen")).alias("average_precision"))

@@ -71,10 +71,9 @@ def _tidy(name: str) -> str:
     return f'case when abs({name}) < 1000 then round({name} + 1e-9, 6) else round({name} + 1e-7, 4) end as "{name}"'
 
 
-def query(name: str, columns: str, sql: str | None, more: str = "") -> Callable:
+def query(name: str, columns: str, sql: str | None) -> Callable:
     """Registers a plan under a name. Of the columns, those marked ~ are doubles and rounded on both sides.
 
-    The plan has the columns of `more` besides, which its SQL does not state.
     Engines round exact halves differently; the small number added before rounding keeps values off them.
     """
     names = columns.split()
@@ -84,7 +83,7 @@ def query(name: str, columns: str, sql: str | None, more: str = "") -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(Plant(spark, sf_dir))
             tidy = lambda c: F.when(F.abs(c) < 1000, F.round(F.col(c) + 1e-9, 6)).otherwise(F.round(F.col(c) + 1e-7, 4)).alias(c)
-            return df.select(*[tidy(c[:-1]) if c.endswith("~") else F.col(c) for c in names + more.split()])
+            return df.select(*[tidy(c[:-1]) if c.endswith("~") else F.col(c) for c in names])
 
         QUERIES[name] = run
         if sql:
@@ -156,13 +155,25 @@ query(
 )(lambda p: production.pareto(production.downtime_by_reason(p.fact_downtime), ["site_id"], "downtime_min", ["failure_category", "failure_reason", "planned_flag"]))
 query(
     "v_ben4_changeover_summary",
-    "site_id line_id changeover_count total_min~ mean_min~ median_min~ least_min~ most_min~ total_rank",
-    """select *, cast(dense_rank() over (order by total_min desc nulls first) as int) total_rank from (select site_id, line_id, count(*) changeover_count, sum(duration_min) total_min, avg(duration_min) mean_min, quantile_cont(duration_min, 0.5) median_min,
+    "site_id line_id changeover_count total_min~ mean_min~ median_min~ least_min~ most_min~ changeover_rank site_rank",
+    """select *, cast(dense_rank() over (order by mean_min nulls last) as int) changeover_rank, cast(dense_rank() over (partition by site_id order by mean_min nulls last) as int) site_rank
+  from (select site_id, line_id, count(*) changeover_count, sum(duration_min) total_min, avg(duration_min) mean_min, quantile_cont(duration_min, 0.5) median_min,
   min(duration_min) least_min, max(duration_min) most_min from fact_downtime where planned_flag and failure_category = 'CHANGEOVER' group by 1, 2) c""",
-)(lambda p: production.ranked(production.changeover_summary(p.fact_downtime), {"total_rank": ("total_min", True, [])}))
-query("v_ben5_site_benchmark", "site_id line_count mean_line_oee~ least_line_oee~ most_line_oee~", f"select site_id, count(*) line_count, avg(oee) mean_line_oee, min(oee) least_line_oee, max(oee) most_line_oee from ({_LINES}) l group by 1")(lambda p: production.site_benchmark(lines(p)))
-query("v_ben6_site_rank", "site_id mean_line_oee~ oee_rank", f"select *, cast(dense_rank() over (order by mean_line_oee desc nulls first) as int) oee_rank from (select site_id, avg(oee) mean_line_oee from ({_LINES}) l group by 1) s")(
-    lambda p: production.ranked(production.site_benchmark(lines(p)), {"oee_rank": ("mean_line_oee", True, [])})
+)(lambda p: production.ranked(production.changeover_summary(p.fact_downtime), {"changeover_rank": ("mean_min", False, []), "site_rank": ("mean_min", False, ["site_id"])}))
+BENCH = "line_count mean_line_oee~ least_line_oee~ most_line_oee~ mean_line_attainment~ mean_line_good_attainment~ mean_line_utilization~ planned_quantity actual_quantity good_quantity reject_quantity"
+_BENCH = f"""select site_id, count(*) line_count, avg(oee) mean_line_oee, min(oee) least_line_oee, max(oee) most_line_oee, avg(production_attainment) mean_line_attainment,
+  avg(good_quantity / planned_quantity) mean_line_good_attainment, avg(gross_capacity_utilization) mean_line_utilization, {_bigs("planned_quantity actual_quantity good_quantity reject_quantity")} from ({_LINES}) l group by 1"""
+query("v_ben5_site_benchmark", f"site_id {BENCH}", _BENCH)(lambda p: production.site_benchmark(lines(p)))
+query(
+    "v_ben6_site_rank",
+    "site_id mean_line_oee~ mean_line_attainment~ mean_line_utilization~ oee_rank attainment_rank utilization_rank",
+    f"""select *, cast(dense_rank() over (order by mean_line_oee desc nulls first) as int) oee_rank, cast(dense_rank() over (order by mean_line_attainment desc nulls first) as int) attainment_rank,
+  cast(dense_rank() over (order by mean_line_utilization desc nulls first) as int) utilization_rank from ({_BENCH}) s""",
+)(
+    lambda p: production.ranked(
+        production.site_benchmark(lines(p)),
+        {"oee_rank": ("mean_line_oee", True, []), "attainment_rank": ("mean_line_attainment", True, []), "utilization_rank": ("mean_line_utilization", True, [])},
+    )
 )
 
 ENERGY = "average_demand_kw~ kwh_per_1000~ kwh_per_1000_good~ kwh_per_operating_hour~"
@@ -210,10 +221,10 @@ query(
 )(lambda p: energy.compressed_air_summary(p.fact_line_energy_detail))
 query(
     "v_ut5_site_auxiliary_summary",
-    "site_id line_electricity_kwh~ site_auxiliary_electricity_kwh~ site_total_electricity_kwh~ auxiliary_share~ total_kwh_per_1000~ mean_air_temperature_c~ mean_weather_kw~ share_rank",
-    """select *, cast(dense_rank() over (order by auxiliary_share nulls last) as int) share_rank from (select site_id, sum(line_electricity_kwh) line_electricity_kwh, sum(site_auxiliary_electricity_kwh) site_auxiliary_electricity_kwh, sum(site_total_electricity_kwh) site_total_electricity_kwh,
+    "site_id line_electricity_kwh~ site_auxiliary_electricity_kwh~ site_total_electricity_kwh~ auxiliary_share~ total_kwh_per_1000~ mean_air_temperature_c~ mean_weather_kw~ intensity_rank share_rank",
+    """select *, cast(dense_rank() over (order by total_kwh_per_1000 nulls last) as int) intensity_rank, cast(dense_rank() over (order by auxiliary_share nulls last) as int) share_rank from (select site_id, sum(line_electricity_kwh) line_electricity_kwh, sum(site_auxiliary_electricity_kwh) site_auxiliary_electricity_kwh, sum(site_total_electricity_kwh) site_total_electricity_kwh,
   sum(site_auxiliary_electricity_kwh) / sum(site_total_electricity_kwh) auxiliary_share, sum(site_total_electricity_kwh) * 1000 / sum(production_units) total_kwh_per_1000, avg(mean_air_temperature_c) mean_air_temperature_c, avg(site_weather_auxiliary_kw) mean_weather_kw from fact_site_energy_detail group by 1) s""",
-)(lambda p: production.ranked(energy.site_auxiliary_summary(p.fact_site_energy_detail), {"share_rank": ("auxiliary_share", False, [])}))
+)(lambda p: production.ranked(energy.site_auxiliary_summary(p.fact_site_energy_detail), {"intensity_rank": ("total_kwh_per_1000", False, []), "share_rank": ("auxiliary_share", False, [])}))
 
 
 def cost(p: Plant) -> DataFrame:
@@ -261,21 +272,27 @@ query(
 )(reliability)
 query(
     "v_rel4_equipment_type_summary",
-    "equipment_type equipment_count failed_count failure_count mean_mttr_hours~ mean_gap_hours~",
-    "select equipment_type, count(*) equipment_count, count(*) filter (failure_count > 0) failed_count, cast(sum(failure_count) as bigint) failure_count, avg(mttr_hours) filter (failure_count > 0) mean_mttr_hours, avg(mean_gap_hours) filter (failure_count > 1) mean_gap_hours from eq group by 1",
-)(lambda p: control.equipment_type_summary(reliability(p)))
+    "site_id equipment_type equipment_count failed_count failure_count work_order_count downtime_hours~ mean_mttr_hours~ mean_gap_hours~ mean_mtbf_hours~ mean_failures_per_1000_hours~ mean_availability~",
+    """select l.site_id, equipment_type, count(*) equipment_count, count(*) filter (failure_count > 0) failed_count, cast(sum(failure_count) as bigint) failure_count, cast(sum(work_order_count) as bigint) work_order_count,
+  sum(downtime_hours) downtime_hours, avg(mttr_hours) filter (failure_count > 0) mean_mttr_hours, avg(mean_gap_hours) filter (failure_count > 1) mean_gap_hours, avg(line_hours / failure_count) mean_mtbf_hours,
+  avg(failure_count * 1000 / line_hours) mean_failures_per_1000_hours, avg((line_hours / failure_count) / (line_hours / failure_count + mttr_hours)) mean_availability
+  from eq join dim_line l using (line_id) group by 1, 2""",
+)(lambda p: control.equipment_type_summary(reliability(p).join(p.dim_line.select("line_id", "site_id"), "line_id")))
 query(
     "v_rel5_failure_pareto",
-    "site_id failure_reason downtime_hours~ share~ cumulative_share~ pareto_rank",
+    "site_id failure_reason event_count unplanned_count linked_count total_hours~ downtime_hours~ linked_hours~ mean_unplanned_min~ share~ cumulative_share~ pareto_rank",
     """select *, downtime_hours / total share, cumulative / total cumulative_share from (select *, sum(downtime_hours) over (partition by site_id) total, sum(downtime_hours) over w cumulative, cast(row_number() over w as int) pareto_rank
-  from (select site_id, failure_reason, sum(downtime_hours) downtime_hours from ev group by 1, 2) d window w as (partition by site_id order by downtime_hours desc nulls last, failure_reason rows unbounded preceding)) r""",
-    more="event_count unplanned_count linked_count total_hours~ linked_hours~ mean_unplanned_min~",
+  from (select d.site_id, d.failure_reason, count(*) event_count, count(*) filter (not planned_flag) unplanned_count, count(e.id) linked_count, sum(duration_min / 60) total_hours,
+    sum(duration_min / 60) filter (not planned_flag) downtime_hours, sum(duration_min / 60) filter (e.id is not null) linked_hours, avg(duration_min) filter (not planned_flag) mean_unplanned_min
+    from fact_downtime d left join (select distinct downtime_event_id id from ev) e on e.id = d.source_record_id group by 1, 2) x
+  window w as (partition by site_id order by downtime_hours desc nulls last, failure_reason rows unbounded preceding)) r""",
 )(lambda p: production.pareto(control.failure_downtime(p.fact_downtime, events(p)), ["site_id"], "downtime_hours", ["failure_reason"]))
 query(
     "v_rel6_failure_burden",
-    "equipment_id failure_count downtime_hours~ failure_rank type_rank",
-    "select *, cast(dense_rank() over (order by failure_count desc nulls first) as int) failure_rank, cast(dense_rank() over (partition by equipment_type order by failure_count desc nulls first) as int) type_rank from eq",
-)(lambda p: production.ranked(reliability(p), {"failure_rank": ("failure_count", True, []), "type_rank": ("failure_count", True, ["equipment_type"])}))
+    "equipment_id failure_count downtime_hours~ hours_per_failure~ burden_rank frequency_rank",
+    """select *, downtime_hours / failure_count hours_per_failure, cast(dense_rank() over (order by round(downtime_hours, 6) desc nulls last) as int) burden_rank, cast(dense_rank() over (order by failure_count desc nulls last) as int) frequency_rank
+  from eq where failure_count > 0""",
+)(lambda p: control.failure_burden(reliability(p)))
 for _name, _by in {"v_rel7_monthly_reliability": "line_id", "v_rel7_monthly_site_reliability": "site_id"}.items():
     query(
         _name,
@@ -351,12 +368,12 @@ _RULES = """select rule_code, cast(evaluated as bigint) evaluated, cast(failed a
   select 'PROD_REQUIRED_NULLS' rule_code, count(*) evaluated, count(*) filter (source_record_id is null or timestamp_start is null or line_id is null) failed from fact_production
   union all select 'PROD_QTY_RECON', count(*), count(*) filter (actual_quantity <> good_quantity + reject_quantity) from fact_production
   union all select 'PROD_TIME_VALID', count(*), count(*) filter (operating_time_min > planned_production_time_min) from fact_production
-  union all select 'ENERGY_POSITIVE', count(*), count(*) filter (electricity_kwh <= 2000) from fact_production
+  union all select 'ENERGY_POSITIVE', count(*), count(*) filter (electricity_kwh <= 0) from fact_production
   union all select 'PROD_DUP_SOURCE', sum(n), count(*) filter (n > 1) from (select count(*) n from fact_production group by source_record_id) a
   union all select 'DT_DUP_PARENT', sum(n), count(*) filter (n > 1) from (select count(*) n from fact_downtime group by production_record_id) b
   union all select 'TELEMETRY_UNIQUE', sum(n), sum(n - 1) from (select count(*) n from telemetry group by equipment_id, event_timestamp) c
   union all select 'DT_LINEAGE', count(*), count(*) filter (not exists (select 1 from fact_production p where p.source_record_id = d.production_record_id)) from fact_downtime d
-  union all select 'QUALITY_LINEAGE', count(*), count(*) filter (not exists (select 1 from fact_production p where p.source_record_id = d.production_record_id and p.reject_quantity > 100)) from fact_quality d) r"""
+  union all select 'QUALITY_LINEAGE', count(*), count(*) filter (not exists (select 1 from fact_production p where p.source_record_id = d.production_record_id)) from fact_quality d) r"""
 query("dq_rule_results", "rule_code evaluated failed failure_rate~ status", _RULES)(rules)
 query("v_dq3_summary", "rules pass warn fail score~", f"select count(*) rules, count(*) filter (status = 'PASS') as pass, count(*) filter (status = 'WARN') as warn, count(*) filter (status = 'FAIL') as fail, 1 - sum(failed) / sum(evaluated) score from ({_RULES}) s")(lambda p: checks.summary(rules(p)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnworks.plans import manufacturing
+from kilnworks.plans import gates, manufacturing, reporting  # noqa: F401  (the others register their queries when imported)
 
 QUERIES = dict(manufacturing.QUERIES)
 ORACLES = dict(manufacturing.ORACLES)
