@@ -15,9 +15,10 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in texts})
 
 
-def calendar(first: str, last: str, spark) -> DataFrame:
-    """A row for each day with its ISO week and day, quarter, names and weekend flag."""
-    days = spark.sql(f"select explode(sequence(date'{first}', date'{last}', interval 1 day)) as full_date")
+def calendar(facts: DataFrame, ts: str) -> DataFrame:
+    """A row for each day from the first to the last of some facts, with ISO week and day, quarter, names and weekend flag."""
+    ends = facts.agg(F.to_date(F.min(ts)).alias("first"), F.to_date(F.max(ts)).alias("last")).filter("first IS NOT NULL")
+    days = ends.select(F.explode(F.sequence("first", "last")).alias("full_date"))
     iso_day = F.weekday("full_date") + 1
     return days.select(
         "full_date",

@@ -125,7 +125,7 @@ query(
     "ld2_calendar",
     "date_id iso_week iso_day quarter month_name day_name is_weekend",
     "select cast(strftime(d, '%Y%m%d') as int) date_id, cast(weekofyear(d) as int) iso_week, cast(isodow(d) as int) iso_day, cast(quarter(d) as int) as quarter, monthname(d) month_name, dayname(d) day_name, isodow(d) >= 6 is_weekend from (select distinct cast(timestamp_start as date) d from fact_production) x",
-)(lambda p: conform.calendar("1992-01-01", "1999-12-31", p.spark).join(p.fact_production.select(F.date_format("timestamp_start", "yyyyMMdd").cast("int").alias("date_id")).distinct(), "date_id", "left_semi"))
+)(lambda p: conform.calendar(p.fact_production, "timestamp_start").join(p.fact_production.select(F.date_format("timestamp_start", "yyyyMMdd").cast("int").alias("date_id")).distinct(), "date_id", "left_semi"))
 
 
 def coded(p: Plant) -> DataFrame:
