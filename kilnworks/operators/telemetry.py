@@ -153,7 +153,7 @@ def split_by_position(df: DataFrame, entity: str, ts: str, share: float) -> Data
     """part of each row: TRAIN for the first share of the rows of an entity by position, CALIBRATION for the rest."""
     place = F.row_number().over(Window.partitionBy(entity).orderBy(ts))
     many = F.count("*").over(Window.partitionBy(entity))
-    return df.withColumn("part", F.when(place <= F.floor(share * many), "TRAIN").otherwise("CALIBRATION"))
+    return df.withColumn("part", F.when(place <= F.floor(F.round(share * many, 6)), "TRAIN").otherwise("CALIBRATION"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
