@@ -1,6 +1,6 @@
 """Causal features of telemetry by equipment, alerts, and their evaluation against failure windows.
 
-Every function works per entity and looks back only. Failure windows are few; they are joined by range.
+Every function works per entity and looks back only. Failure windows are joined by day, then by range.
 """
 
 from __future__ import annotations
@@ -54,12 +54,23 @@ def trailing_context(bins: DataFrame, entity: str, columns: list[str], n: int =
     return bins
 
 
+def near_windows(times: DataFrame, t: Column, windows: DataFrame, lo: Column, hi: Column, how: str = "inner") -> DataFrame:
+    """Rows of times joined to the windows whose [lo, hi] holds t, both in seconds; _lo and _hi are the bounds.
+
+    Windows are dealt to the days they touch, so that the join has a key; a window meets a time on one day only.
+    """
+    day = lambda x: F.floor(x / 86400)
+    dealt = windows.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi").withColumn("_day", F.explode(F.sequence(day(F.col("_lo")), day(F.col("_hi")))))
+    inside = (day(t) == F.col("_day")) & (t >= F.col("_lo")) & (t <= F.col("_hi"))
+    return times.join(dealt, inside, how).drop("_day")
+
+
 def label_windows(df: DataFrame, ts: str, windows: DataFrame, before_h: int = 24, after_h: int = 24) -> DataFrame:
     """in_failure [s, e], in_warning [s - before, e], excluded [s - before, e + after], and the last window's failure_id."""
     w = windows.withColumns({"_s": seconds(F.col("failure_start")), "_e": seconds(F.col("failure_end"))})
     t = seconds(F.col(ts))
     times = df.select(ts).distinct()
-    met = times.join(w, (t >= F.col("_s") - before_h * HOUR) & (t <= F.col("_e") + after_h * HOUR))
+    met = near_windows(times, t, w, F.col("_s") - before_h * HOUR, F.col("_e") + after_h * HOUR)
     inside = (t >= F.col("_s")) & (t <= F.col("_e"))
     flags = met.groupBy(ts).agg(
         F.bool_or(inside).alias("in_failure"), F.bool_or(t <= F.col("_e")).alias("in_warning"), F.max_by("failure_id", F.when(inside, F.struct("failure_start", "failure_id"))).alias("failure_id"), F.lit(True).alias("excluded")
@@ -90,7 +101,7 @@ def evaluate_any_alert(df: DataFrame, ts: str, alert: str, windows: DataFrame, h
     t = seconds(F.col(ts))
     w = windows.withColumns({"_s": seconds(F.col("failure_start")), "_e": seconds(F.col("failure_end"))})
     alerts = df.filter(F.col(alert)).select(ts)
-    met = alerts.join(w, (t >= F.col("_s") - horizon_h * HOUR) & (t <= F.col("_e"))).groupBy("failure_id").agg(F.min(t).alias("_first"))
+    met = near_windows(alerts, t, w, F.col("_s") - horizon_h * HOUR, F.col("_e")).groupBy("failure_id").agg(F.min(t).alias("_first"))
     lead = (F.col("_s") - F.col("_first")) / HOUR
     return w.join(met, "failure_id", "left").select("failure_id", F.col("_first").isNotNull().alias("detected"), lead.alias("lead_hours"), F.coalesce(lead >= early_h, F.lit(False)).alias("early"))
 
@@ -100,9 +111,10 @@ def evaluate_starts(df: DataFrame, ts: str, start: str, windows: DataFrame, hori
     t = seconds(F.col(ts))
     w = windows.withColumn("_s", seconds(F.col("failure_start")))
     starts = df.filter(F.col(start)).select(F.monotonically_increasing_id().alias("_id"), t.alias("_t"))
-    met = starts.join(w, (F.col("_t") >= F.col("_s") - horizon_h * HOUR) & (F.col("_t") < F.col("_s")), "left").groupBy("_t").agg(F.countDistinct("_id").alias("n"), F.max(F.col("failure_id").isNotNull()).alias("hit"), F.collect_set("failure_id").alias("ids"))
+    met = near_windows(starts, F.col("_t"), w, F.col("_s") - horizon_h * HOUR, F.col("_s"), "left")
+    warns = F.col("_t") < F.col("_s")  # the join takes the failure's own second too
     days = df.agg(F.greatest((F.max(t) - F.min(t)) / 86400, F.lit(1e-9)).alias("days"))
-    one = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("episodes"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("true_episodes"), F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).cast("long").alias("warned"))
+    one = met.agg(F.countDistinct("_id").alias("episodes"), F.countDistinct(F.when(warns, F.col("_id"))).alias("true_episodes"), F.countDistinct(F.when(warns, F.col("failure_id"))).alias("warned"))
     total = windows.agg(F.count("*").alias("failures"))
     out = one.crossJoin(F.broadcast(days)).crossJoin(F.broadcast(total))  # one row each
     return out.select("episodes", "true_episodes", "warned", "failures", F.try_divide("true_episodes", "episodes").alias("precision"), F.try_divide("warned", "failures").alias("recall"), ((F.col("episodes") - F.col("true_episodes")) / F.col("days")).alias("false_per_day"))

@@ -119,11 +119,26 @@ def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     )
 
 
+def unused(taken: list[str], name: str) -> str:
+    """A name that begins with `name` and that no column's name begins with, whatever the case."""
+    while any(c.lower().startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def upsert(base: DataFrame, incoming: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
-    """base with the rows of incoming; where a key stands in both, incoming wins, or base if not update."""
-    if update:
-        return base.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
-    return base.unionByName(incoming.join(base.select(*keys), keys, "left_anti"))
+    """base with the rows of incoming; where a key stands in both, incoming wins, or base if not update.
+
+    A null key equals a null key. Incoming rows that repeat a key have no defined winner: the job fails.
+    """
+    n = unused(incoming.columns, "n")
+    once = F.when(F.col(n) == 1, True).otherwise(F.raise_error("incoming rows repeat a key").cast("boolean"))
+    incoming = incoming.withColumn(n, F.count("*").over(Window.partitionBy(*keys))).filter(once).drop(n)
+    left, right = (base, incoming) if update else (incoming, base)
+    named = right.select(*[F.col(k).alias(f"{unused(left.columns, 'key')}{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda x, y: x & y, [left[k].eqNullSafe(named[c]) for k, c in zip(keys, named.columns, strict=True)])
+    kept = left.join(named, same, "left_anti")
+    return kept.unionByName(incoming) if update else base.unionByName(kept)
 
 
 def replace_by_source(df: DataFrame, path: str, source: str = "source_dataset_id") -> None:
@@ -152,6 +167,11 @@ def profile(df: DataFrame, ts: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Rows, and order-free digests of the whole content: equal tables have equal fingerprints in any order of rows."""
-    h = F.xxhash64(*sorted(df.columns))
+    """Rows, and order-free digests of the whole content: equal tables have equal fingerprints in any order of rows.
+
+    The hash skips nulls, so each column is hashed with a mark that says whether it is null; nested columns as JSON.
+    """
+    nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
+    parts = [(F.col(c).isNull(), F.to_json(c, {"ignoreNullFields": "false"}) if c in nested else F.col(c)) for c in sorted(df.columns)]
+    h = F.xxhash64(*[x for pair in parts for x in pair])
     return df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))

@@ -133,3 +133,43 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = rows.withColumn("alert", telemetry.k_of_n(rows, "e", "t", F.col("hot"), 2, 3))
     batch = batch.withColumn("start", telemetry.episode_starts("e", "t", "alert")).select("e", "t", "alert", "start")
     assert sorted(map(tuple, spark.table("seen").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_upsert_matches_null_keys_and_refuses_repeats(spark):
+    base = spark.createDataFrame([(1, None, "a"), (None, None, "b")], "k long, key0 string, v string")
+    new = spark.createDataFrame([(None, None, "c"), (2, "x", "d")], "k long, key0 string, v string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(silver.upsert(base, new, ["k", "key0"])) == [(1, None, "a"), (2, "x", "d"), (None, None, "c")]
+    assert rows(silver.upsert(base, new, ["k", "key0"], update=False)) == [(1, None, "a"), (2, "x", "d"), (None, None, "b")]
+    with pytest.raises(Exception, match="repeat a key"):
+        silver.upsert(base, new.union(new), ["k", "key0"]).collect()
+    assert rows(silver.upsert(base.limit(0), new.limit(0), ["k"])) == []
+
+
+def test_fingerprint_tells_where_a_null_stands(spark):
+    kind = "a long, b long, c array<long>"
+    prints = {tuple(silver.fingerprint(spark.createDataFrame([r], kind)).collect()[0]) for r in [(None, 1, None), (1, None, None), (None, 1, [None]), (None, 1, []), (None, None, None)]}
+    assert len(prints) == 5
+
+
+def test_windows_that_cross_midnight_overlap_or_end_before_they_begin(spark):
+    times = [ts("2024-01-01 00:00") + dt.timedelta(minutes=37 * k) for k in range(400)]
+    df = spark.createDataFrame([(t, k % 5 == 0) for k, t in enumerate(times)] + [(None, True)], "t timestamp_ntz, hot boolean")
+    spans = [(1, "2024-01-03 22:10", "2024-01-05 01:00"), (2, "2024-01-04 00:00", "2024-01-04 00:37"), (3, "2024-01-08 10:00", "2024-01-08 09:00"), (4, "2024-02-08 10:00", "2024-02-08 11:00"), (5, None, None)]
+    windows = spark.createDataFrame([(i, a and ts(a), b and ts(b)) for i, a, b in spans], "failure_id long, failure_start timestamp_ntz, failure_end timestamp_ntz")
+    known = [(i, ts(a), ts(b)) for i, a, b in spans if a]
+    hours = lambda n: dt.timedelta(hours=n)
+    for r in telemetry.label_windows(df.filter("t is not null"), "t", windows).collect():
+        assert r.in_failure == any(a <= r.t <= b for _, a, b in known)
+        assert r.in_warning == any(a - hours(24) <= r.t <= b for _, a, b in known)
+        assert r.excluded == any(a - hours(24) <= r.t <= b + hours(24) for _, a, b in known)
+    hot = [t for k, t in enumerate(times) if k % 5 == 0]
+    first = {i: min((t for t in hot if a - hours(24) <= t <= b), default=None) for i, a, b in known}
+    for r in telemetry.evaluate_any_alert(df, "t", "hot", windows).collect():
+        assert r.detected == (first.get(r.failure_id) is not None)
+    one = telemetry.evaluate_starts(df, "t", "hot", windows).collect()[0]
+    warned = {i for i, a, _ in known if any(a - hours(24) <= t < a for t in hot)}
+    true = sum(any(a - hours(24) <= t < a for _, a, _ in known) for t in hot)
+    assert (one.episodes, one.true_episodes, one.warned, one.failures) == (len(hot) + 1, true, len(warned), 5)
+    empty = telemetry.evaluate_starts(df.limit(0), "t", "hot", windows).collect()[0]
+    assert (empty.episodes, empty.true_episodes, empty.warned) == (0, 0, 0)
