@@ -32,7 +32,9 @@ SIZE = 200
 GRAM = 48
 #: Bytes of segments in a shard; a minimizer with more is dealt out.
 SHARD = 1 << 20
-_PLACE_BITS = np.uint64(28)
+#: A content that holds more than one in this many segments is joined by broadcast; there are fewer than this many.
+HOT = 1000
+_PLACE_BITS = np.uint64(32)  # a text has less than 2 GiB
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -52,7 +54,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: n - size + 1], low[width - span : width - span + n - size + 1])
-    chosen = (low & np.uint64((1 << 28) - 1)).astype(np.int64)
+    chosen = (low & np.uint64((1 << 32) - 1)).astype(np.int64)
     text = np.searchsorted(offsets, np.arange(n - size + 1), side="right") - 1
     whole = np.arange(n - size + 1) + size <= offsets[text + 1]
     new = np.ones(len(chosen), dtype=bool)
@@ -130,7 +132,7 @@ def _repeats(size: int, limit: int):
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(span, pa.int64())], names=["doc_id", "copy", "span"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, held_bytes, dealt = [], None, 0, False
+        held, seen, key, held_bytes, dealt = [], set(), None, 0, False
         for batch in batches:
             for low, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 now = (low, i, j)
@@ -138,7 +140,13 @@ def _repeats(size: int, limit: int):
                 if held and now != key and (dealt or j >= 0 or held_bytes >= limit):
                     yield from solve(held, dealt)
                     held, held_bytes = [], 0
+                if now != key:
+                    seen.clear()
                 key, dealt = now, j >= 0
+                # Rows of equal id and text bring the same segment once each.
+                if (place := (row[0], *row[2:5])) in seen:
+                    continue
+                seen.add(place)
                 held.append(tuple(row))
                 held_bytes += len(row[5])
         if held:
@@ -167,13 +175,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _shared(found: DataFrame) -> DataFrame:
+    """The segments whose minimizer stands twice or more, with whole (their content does too) and mixed (other contents
+    share the minimizer).
+
+    Counts are summed by content, then by minimizer, before anything is joined, so copies of one content never meet in
+    one task. Only the contents that hold more than 1 / HOT of all segments could crowd a key of the join back; these,
+    fewer than HOT, are broadcast.
+    """
+    contents = found.groupBy("low", "content").agg(F.count("*").alias("alike"))
+    lows = contents.groupBy("low").agg(F.sum("alike").alias("all")).filter("all > 1")
+    kept = contents.join(lows, "low").select("low", "content", "alike", (F.col("alike") > 1).alias("whole"), (F.col("alike") < F.col("all")).alias("mixed"))
+    kept = cut(kept, "contents")
+    crowd = found.count() / HOT
+    hot, rest = (kept.filter(x).drop("alike") for x in (F.col("alike") > crowd, F.col("alike") <= crowd))
+    many = found.join(F.broadcast(hot), ["low", "content"])
+    few = found.join(F.broadcast(hot), ["low", "content"], "left_anti").join(rest, ["low", "content"])
+    return many.unionByName(few)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs: start, end) and kept (the remaining bytes) of each row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    found = docs.mapInArrow(_find(size, gram), "low long, content long, doc_id long, copy long, at long")
-    alike, all_ = Window.partitionBy("low", "content"), Window.partitionBy("low")
-    counted = found.repartition("low").withColumn("alike", F.count("*").over(alike)).withColumn("all", F.count("*").over(all_)).filter("all > 1")
-    counted = cut(counted.withColumns({"whole": F.col("alike") > 1, "mixed": F.col("alike") < F.col("all")}).drop("alike", "all"), "segments")
+    found = cut(docs.mapInArrow(_find(size, gram), "low long, content long, doc_id long, copy long, at long"), "found")
+    counted = cut(_shared(found), "segments")
 
     # One copy of each content, where contents differ.
     one = counted.filter("mixed").groupBy("low", "content").agg(F.min(F.struct("doc_id", "copy", "at")).alias("r"), F.first("whole").alias("whole"))
@@ -187,7 +212,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one = one.withColumn("pair", F.explode(pairs)).select("low", "pair.i", "pair.j", "shard", "whole", "at", "doc_id", "copy")
     lists = cut(one.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "i", "j", "shard", "whole", "at")).alias("wanted")), "wanted")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["copy"] == b["copy"])
-    fetched = docs.dropDuplicates(["doc_id", "copy"]) if docs.filter("doc_id IS NULL").limit(1).count() else docs
+    # Rows without an id are told apart by their text alone, so one of each is fetched.
+    fetched = docs.filter("doc_id IS NOT NULL").union(docs.filter("doc_id IS NULL").dropDuplicates(["copy"]))
     texts = fetched.join(lists, same(fetched, lists)).select(lists["doc_id"], lists["copy"], "wanted", "text")
     cuts = texts.mapInArrow(_cut_out(size), "low long, i int, j int, shard int, whole boolean, at long, doc_id long, copy long, part binary")
     dealt = cuts.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").select("low", "i", "j", "shard", "whole", "at", "doc_id", "copy", "part")

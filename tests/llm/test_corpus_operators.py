@@ -356,6 +356,20 @@ def test_suffix_dedup_matches_brute_force(spark, docs, shard):
     assert substring_dedup.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_null_ids_and_one_crowded_content(spark):
+    """A passage in every text, null ids, repeated rows and a clashing column, with and without the broadcast of hot contents."""
+    passage = "the kiln was fired again at noon and cooled by night "
+    every = [f"{k} {passage}{k * 7919 % 101}" for k in range(60)] + ["x" * 90, "x" * 90, None, "", f"zz {passage}"]
+    rows = [(None if k % 3 == 0 else k, t, k) for k, t in enumerate(every)] + [(None, every[0], 0), (1, every[1], 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, low long")
+    want = sorted(removed([t or "" for _, t, _ in rows], 20))
+    for hot in (1, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring_dedup, "HOT", hot)
+            got = substring_dedup.remove_repeats(table, size=20, gram=6).collect()
+        assert sorted((r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == want
+
+
 def test_suffix_array_order_and_search():
     rng = random.Random(3)
     for _ in range(40):
