@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.llm.bytetext import mix
+from kilnworks.llm.scratch import cut
 
 ROWS = 20_000
 FEATURES = 8_192
@@ -142,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
     known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")
+    known = cut(known, "known")  # at most `rows` labelled rows, so the corpus is read once for all that follows
     counts = known.mapInArrow(_count, "h long, label int, n long")
     by_gram = counts.groupBy("h").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
     texts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
