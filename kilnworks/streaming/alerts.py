@@ -41,3 +41,27 @@ def k_of_n_alerts(stream: DataFrame, entity: str, ts: str, flag: str, k: int, n:
     kind = dict(stream.dtypes)
     out = f"{entity} {kind[entity]}, {ts} {kind[ts]}, alert boolean, start boolean"
     return stream.select(entity, ts, flag).groupBy(entity).applyInPandasWithState(step, out, "flags array<int>, before boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_daily(stream: DataFrame, path: str, keys: list[str], sums: list[str], checkpoint: str, day: str = "day"):
+    """Starts a stream that adds the sums of each batch to the daily rows at path, partitioned by day.
+
+    A batch rewrites only the days that it touches. Rows remember the last batch that they hold, so a batch that runs
+    again after a lost driver or executor is not added twice.
+    """
+    part = [day, *keys]
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.groupBy(*part).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("batch", F.lit(number).cast("long"))
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            held = spark.read.schema(fresh.schema).parquet(path).join(fresh.select(day).distinct(), day, "left_semi")
+            new = fresh.withColumnsRenamed({c: f"new_{c}" for c in [*sums, "batch"]})
+            again = F.col("batch") >= number
+            total = {c: F.when(F.coalesce(again, F.lit(False)), F.col(c)).otherwise(F.coalesce(F.col(c) + F.col(f"new_{c}"), F.col(c), F.col(f"new_{c}"))) for c in sums}
+            both = held.join(new, part, "full").withColumns(total | {"batch": F.greatest("batch", "new_batch")})
+            fresh = both.select(*part, *sums, "batch")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+    return stream.writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
