@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import chat_rotation, decontaminate, jaccard, lm_scoring, packing, quality_rules, secrets, substring_dedup, token_counts, toxicity
+from kilnworks.llm import chat_rotation, decontaminate, jaccard, lm_scoring, packing, quality_rules, secrets, substring_dedup, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_words")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op12_token_files": op12_token_files,
 }
 
 
