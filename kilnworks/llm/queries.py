@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import chat_rotation, decontaminate, jaccard, lm_scoring, packing, quality_rules, secrets, substring_dedup, token_counts, token_files, toxicity
+from kilnworks.llm import chat_rotation, decontaminate, filter_audit, jaccard, lm_scoring, packing, quality_rules, secrets, substring_dedup, token_counts, token_files, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +70,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_words")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,7 +93,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
     "op12_token_files": op12_token_files,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
@@ -150,7 +162,28 @@ select conv_id, speaker, part, cast(min(begins) as bigint) as start, cast(count(
 from o group by conv_id, speaker, part
 """
 
+_ORDERS = ", ".join(f"('{''.join(x)}')" for x in permutations(filter_audit.FILTERS))
+
+OP13_SQL = f"""
+with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') ws, min(doc_id) over (partition by t) least from d),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels where doc_id is not null group by doc_id),
+f as (select part, len(ws) < 50 a, 100 * len(list_distinct(ws)) < 65 * len(ws) b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) c, regexp_matches(t, '[#$%&*|]') d,
+  coalesce(doc_id > least, false) e, coalesce(good, 0) good, coalesce(toxic, 0) toxic from w left join l using (doc_id)),
+m as (select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int mask, count(*) n, sum(good) good, sum(toxic) toxic from f group by all),
+o as (select filter_order, step, 1 << (strpos('ABCDE', substr(filter_order, step, 1)) - 1) own,
+  list_sum([0] || [1 << (strpos('ABCDE', substr(filter_order, k, 1)) - 1) for k in range(1, step)]) earlier
+  from (values {_ORDERS}) t(filter_order), (select unnest(range(1, 6)) step)),
+x as (select part, filter_order, step, n, good, toxic, mask, own, mask & own <> 0 here, mask & cast(earlier as bigint) <> 0 before from m, o)
+select part, filter_order, cast(step as integer) step, cast(sum(case when not here and not before then n else 0 end) as bigint) kept, cast(sum(case when here and not before then n else 0 end) as bigint) removed,
+  cast(sum(case when here and before then n else 0 end) as bigint) redundant, cast(sum(case when mask = own then n else 0 end) as bigint) unique_fails,
+  cast(sum(case when here and not before then good else 0 end) as bigint) good_lost, cast(sum(case when here and not before then toxic else 0 end) as bigint) toxic_lost,
+  cast(sum(case when here then n * 120 // bit_count(mask) else 0 end) as bigint) shapley
+from x group by part, filter_order, step
+"""
+
 ORACLES = {
+    "op13_filter_audit": OP13_SQL,
     "op4_chat_rotation": OP4_SQL,
     "op3_quality_rules": OP3_SQL,
     "op6_jaccard_join": OP6_SQL,
