@@ -5,9 +5,9 @@ into files of about SHARD_TOKENS, so no task holds more than one file and the lo
 its own for each attempt; the list of files is a table that Spark commits, so files of lost or repeated tasks are never
 read. The first place of a file is the sum over the files before it.
 
-Texts are cut where a space follows a visible character: no piece of the vocabulary's own pre-tokenizer goes over such a
-place, so the ids of the parts, joined, are the ids of the text. Ids of parts are remembered within REMEMBERED bytes; the
-tokenizer gets each new part once.
+Texts are cut where no piece of the vocabulary's own pre-tokenizer goes on (before and behind words, or at least where a
+space follows a visible character), so the ids of the parts, joined, are the ids of the text. Ids of parts are remembered
+within REMEMBERED bytes; the library gets each new part once.
 
 Edge cases: a null text is empty; an empty document has the end id only; rows of one id (or of none: they come first)
 follow each other by the hash of their text, and equal rows by their place in the input, which must be files or a
@@ -36,11 +36,20 @@ from kilnworks.llm.wavelet import WaveletFile, encode
 END = 0
 SHARD_TOKENS = 1 << 25
 #: Bytes of ids and parts that a task remembers, and the longest part that is remembered.
-REMEMBERED, PART_CHARS = 192 << 20, 64
+REMEMBERED, PART_CHARS = 96 << 20, 64
 #: Characters of a text that are cut at once, and rows.
 SLICE, ROWS = 1 << 20, 256
-#: Where texts may be cut. A text without white space before a space is cut at every space, which is faster.
+#: A space after a visible character: any text may be cut there.
 CUT = re.compile(r"(?<=\S)(?= )")
+#: Letters that a fine cut knows. Texts with those of other scripts are cut at spaces only.
+_OWN = "A-Za-zÀ-ÖØ-öø-ɏ"
+WORD, PLAIN = re.compile(f" [{_OWN}]+"), re.compile(rf"[\x00-\x7f{_OWN}]*")
+#: Words with the space before them, and what stands between words; white space or an apostrophe keeps the letters behind it.
+FINE = re.compile(rf" ?[{_OWN}]+|[^{_OWN}]+?(?:(?<=[\s'])[{_OWN}]+|(?= ?[{_OWN}])|\Z)")
+#: The vocabulary's letter for each byte: visible ones stand for themselves, the others for 256 and up, in order.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+BYTE_LETTERS = np.arange(256, dtype="<u4")
+BYTE_LETTERS[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
 #: Tasks that read files back, at most.
 READERS = 10_000
 
@@ -56,13 +65,17 @@ class Encoder:
     """Ids of texts as little-endian bytes."""
 
     def __init__(self, model: str, special_as_text: bool = False) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = special_as_text
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
+        #: The same model, on words that are spelt in its own letters and begin with its letter for a space.
+        self.words = Tokenizer.from_str(model)
+        self.words.pre_tokenizer = pre_tokenizers.Split(chr(BYTE_LETTERS[ord(" ")]), "merged_with_next")
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Bytes of text that each id stands for: pieces have a character for each byte, special tokens stand for themselves.
         special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.bytes_of = np.array([special.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(1 << self.width)], dtype=np.int64)
@@ -70,22 +83,22 @@ class Encoder:
         self.held = 0
 
     def _learn(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts. Those that begin with a space and end visibly go to the library as one text, which it cuts where they meet."""
-        found: dict[str, bytes] = {}
-        glued = [p for p in parts if p[:1] == " " and not p[-1:].isspace()]
-        single = [p for p in parts if p[:1] != " " or p[-1:].isspace()]
-        made = self.tokenizer.encode_batch_fast(["".join(glued), *single], add_special_tokens=False)
-        ids = np.array(made[0].ids, dtype=self.dtype)
-        ends = np.cumsum(np.array([len(p.encode()) for p in glued], dtype=np.int64))
+        """The ids of parts. Words with a space before them go to the library as one text in the vocabulary's own letters, others one by one."""
+        words, single = [], []
+        for part in parts:
+            (words if WORD.fullmatch(part) else single).append(part)
+        letters = BYTE_LETTERS[np.frombuffer("".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.words.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.cumsum(np.array([len(p.encode()) for p in words], dtype=np.int64))
         stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-        start, ids = 0, ids.tobytes()
-        for part, stop in zip(glued, (stops * self.dtype.itemsize).tolist(), strict=True):
+        found, start, ids = {}, 0, ids.tobytes()
+        for part, stop in zip(words, (stops * self.dtype.itemsize).tolist(), strict=True):
             found[part] = ids[start:stop]
             start = stop
-        for part, one in zip(single, made[1:], strict=True):
-            found[part] = np.array(one.ids, dtype=self.dtype).tobytes()
+        for part, made in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            found[part] = np.array(made.ids, dtype=self.dtype).tobytes()
         for part, ids in found.items():
-            if len(part) <= PART_CHARS and not part[-1:].isspace():
+            if len(part) <= PART_CHARS and PLAIN.fullmatch(part):
                 self.known[part] = ids
                 self.held += len(part) + len(ids) + 200
         return [found[p] for p in parts]
@@ -102,23 +115,21 @@ class Encoder:
             self.held = 0
         known, made, gaps, new = self.known.get, [], [], {}
         for text in texts:
-            body = text.rstrip(" \t\n\r")
-            parts = body.replace(" ", "\0 ").split("\0")
+            parts = FINE.findall(text)
             found = list(map(known, parts))
-            if None in found or len(body) < len(text) or "\0" in body:
-                misses = [p for p, ids in zip(parts, found, strict=True) if ids is None]
-                if "\0" in body or any(p[-1:].isspace() for p in misses):  # such parts are never remembered, so each is a miss
-                    parts = CUT.split(text)
-                    misses = [p for p in parts if known(p) is None]
-                elif len(body) < len(text):
-                    parts.append(text[len(body) :])
-                    misses.append(parts[-1])
-                gaps.append((len(made), parts))
-                new.update(dict.fromkeys(misses))
+            gap = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            # Parts of other scripts are never remembered, so each is in the gap.
+            if any(s in text for s in self.special) or gap and not PLAIN.fullmatch("".join([parts[k] for k in gap])):
+                parts = CUT.split(text)
+                found = list(map(known, parts))
+                gap = [k for k, ids in enumerate(found) if ids is None]
             made.append(found)
-        found = dict(zip(new, self._learn(list(new)), strict=True))
-        for k, parts in gaps:
-            made[k] = [found[p] if (ids := known(p)) is None else ids for p in parts]
+            gaps.append((parts, gap))
+            new.update(dict.fromkeys([parts[k] for k in gap]))
+        learnt = dict(zip(new, self._learn(list(new)), strict=True))
+        for found, (parts, gap) in zip(made, gaps, strict=True):
+            for k in gap:
+                found[k] = learnt[parts[k]]
         return [b"".join(ids) for ids in made]
 
 
