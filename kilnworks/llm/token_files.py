@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from kilnworks.llm.wavelet import WaveletFile, encode
 END = 0
 SHARD_TOKENS = 1 << 25
 #: Bytes of ids and parts that a task remembers, and the longest part that is remembered.
-REMEMBERED, PART_CHARS = 96 << 20, 64
+REMEMBERED, PART_CHARS = 128 << 20, 64
 #: Characters of a text that are cut at once, and rows.
 SLICE, ROWS = 1 << 20, 256
 #: A space after a visible character: any text may be cut there.
@@ -142,8 +143,10 @@ def _slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-#: Encoders of this worker, by vocabulary and treatment of special tokens.
-_encoders: dict[tuple[int, bool], Encoder] = {}
+@lru_cache(2)
+def encoder_of(model: str, special_as_text: bool) -> Encoder:
+    """The encoder of this worker process, which keeps what it has learnt from task to task."""
+    return Encoder(model, special_as_text)
 
 
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -156,10 +159,7 @@ def write_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
         model_text = docs.sparkSession.sparkContext.broadcast(source.read())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(model_text.value), special_as_text
-        if key not in _encoders:
-            _encoders[key] = Encoder(model_text.value, special_as_text)
-        encoder = _encoders[key]
+        encoder = encoder_of(model_text.value, special_as_text)
         part, number, ending = TaskContext.get().partitionId(), 0, np.array([end], dtype=encoder.dtype).tobytes()
         store, path = _folder(folder)
         ids: list[bytes] = []
