@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnworks.operators.blocks import in_blocks, trailing_quantiles
 from kilnworks.operators.control import HOUR, seconds
 from kilnworks.operators.telemetry import near_windows
 
@@ -43,12 +44,16 @@ def grid_alerts(
     df: DataFrame, entity: str, ts: str, score: str, quantiles: tuple = QUANTILES, persistence: tuple = PERSISTENCE, lag: int = 288, lookback: int = 2016, least: int = 864
 ) -> DataFrame:
     """alert and start of each row under each policy: k of n scores at or over a lagged trailing quantile."""
-    trailing = Window.partitionBy(entity).orderBy(ts).rowsBetween(-(lag + lookback - 1), -lag)
-    limits = F.when(F.count(score).over(trailing) >= least, F.percentile(score, F.array(*map(F.lit, quantiles))).over(trailing))
+    limited = trailing_quantiles(df, entity, ts, score, list(quantiles), lag, lookback, least, "limits")
     grid = [F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("quantile"), F.lit(k).alias("required"), F.lit(n).alias("window")) for i, q in enumerate(quantiles) for k, n in persistence]
-    each = df.select(entity, ts, score, limits.alias("limits")).withColumn("p", F.explode(F.array(*grid))).select(entity, ts, score, F.get("limits", F.col("p.i")).alias("limit"), *[f"p.{c}" for c in POLICY])
-    hot = each.withColumn("hot", F.coalesce(F.col(score) >= F.col("limit") - TOLERANCE, F.lit(False)))
-    return with_persistence(hot, [entity, *POLICY], ts, "hot", sorted({n for _, n in persistence}))
+    sizes = sorted({n for _, n in persistence})
+
+    def judged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        each = rows.withColumn("p", F.explode(F.array(*grid))).withColumns({"limit": F.get("limits", F.col("p.i"))} | {c: F.col(f"p.{c}") for c in POLICY}).drop("p", "limits")
+        hot = each.withColumn("hot", F.coalesce(F.col(score) >= F.col("limit") - TOLERANCE, F.lit(False)))
+        return with_persistence(hot, [*keys, *POLICY], ts, "hot", sizes)
+
+    return in_blocks(limited, entity, ts, max(sizes), judged)
 
 
 def with_persistence(df: DataFrame, keys: list[str], ts: str, hot: str, windows: list[int]) -> DataFrame:

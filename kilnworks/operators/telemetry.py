@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnworks.functions.measures import ratio
+from kilnworks.operators.blocks import in_blocks, numbered, trailing_quantiles
 from kilnworks.operators.control import HOUR, seconds
 
 
@@ -23,11 +24,13 @@ def bin_features(df: DataFrame, entity: str, ts: str, width: str, analog: list[s
 
     Differences cross the edges of bins; the first row of a digital signal counts as a transition.
     """
-    order = Window.partitionBy(entity).orderBy(ts)
-    for c in analog:
-        df = df.withColumn(f"_d_{c}", F.abs(F.col(c) - F.lag(c).over(order)))
-    for c in digital:
-        df = df.withColumn(f"_t_{c}", F.coalesce(F.col(c) != F.lag(c).over(order), F.lit(True)).cast("int"))
+
+    def moves(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(ts)
+        steps = {f"_d_{c}": F.abs(F.col(c) - F.lag(c).over(order)) for c in analog}
+        return rows.withColumns(steps | {f"_t_{c}": F.coalesce(F.col(c) != F.lag(c).over(order), F.lit(True)).cast("int") for c in digital})
+
+    df = in_blocks(df, entity, ts, 1, moves)
     begin = F.window(ts, width)["start"].cast("timestamp_ntz").alias("bin")
     aggs = []
     for c in analog:
@@ -45,13 +48,17 @@ def bin_features(df: DataFrame, entity: str, ts: str, width: str, analog: list[s
 
 def trailing_context(bins: DataFrame, entity: str, columns: list[str], n: int = 12, least: int = 6) -> DataFrame:
     """Mean, spread and deviation over the last n bins, where at least `least` of them hold a value; slope over n bins."""
-    order = Window.partitionBy(entity).orderBy("bin")
-    frame = order.rowsBetween(-(n - 1), 0)
-    for c in columns:
-        enough = F.count(c).over(frame) >= least
-        bins = bins.withColumns({f"{c}_context": F.when(enough, F.avg(c).over(frame)), f"{c}_context_std": F.when(enough, F.stddev_pop(c).over(frame)), f"{c}_slope": F.col(c) - F.lag(c, n).over(order)})
-        bins = bins.withColumn(f"{c}_deviation", F.col(c) - F.col(f"{c}_context"))
-    return bins
+
+    def context(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("bin")
+        frame = order.rowsBetween(-(n - 1), 0)
+        for c in columns:
+            enough = F.count(c).over(frame) >= least
+            rows = rows.withColumns({f"{c}_context": F.when(enough, F.avg(c).over(frame)), f"{c}_context_std": F.when(enough, F.stddev_pop(c).over(frame)), f"{c}_slope": F.col(c) - F.lag(c, n).over(order)})
+            rows = rows.withColumn(f"{c}_deviation", F.col(c) - F.col(f"{c}_context"))
+        return rows
+
+    return in_blocks(bins, entity, "bin", n, context)
 
 
 def near_windows(times: DataFrame, t: Column, windows: DataFrame, lo: Column, hi: Column, how: str = "inner") -> DataFrame:
@@ -79,21 +86,31 @@ def label_windows(df: DataFrame, ts: str, windows: DataFrame, before_h: int = 24
     return out.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("in_failure", "in_warning", "excluded")})
 
 
-def k_of_n(df: DataFrame, entity: str, ts: str, flag: Column, k: int, n: int) -> Column:
+def k_of_n(df: DataFrame, entity: str | list[str], ts: str, flag: Column, k: int, n: int) -> Column:
     """Whether k of the last n rows are flagged; never before n rows have been seen."""
     frame = Window.partitionBy(entity).orderBy(ts).rowsBetween(-(n - 1), 0)
     return (F.sum(flag.cast("int")).over(frame) >= k) & (F.count(F.lit(1)).over(frame) == n)
 
 
-def episode_starts(entity: str, ts: str, alert: str) -> Column:
+def episode_starts(entity: str | list[str], ts: str, alert: str) -> Column:
     """The first row of each run of alerts."""
     return F.col(alert) & ~F.coalesce(F.lag(alert).over(Window.partitionBy(entity).orderBy(ts)), F.lit(False))
 
 
-def adaptive_threshold(entity: str, ts: str, score: str, q: float, lag: int = 288, lookback: int = 2016, least: int = 864) -> Column:
-    """Exact quantile of the scores in a lagged window of rows; null until `least` of them are there."""
-    frame = Window.partitionBy(entity).orderBy(ts).rowsBetween(-(lag + lookback - 1), -lag)
-    return F.when(F.count(score).over(frame) >= least, F.percentile(score, q).over(frame))
+def persistent_alerts(df: DataFrame, entity: str, ts: str, flag: str, k: int, n: int, **sizes: int) -> DataFrame:
+    """df with alert (k of the last n rows of the entity are flagged) and start (first alert of a run), in blocks of rows."""
+
+    def judged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rows = rows.withColumn("alert", k_of_n(rows, keys, ts, F.col(flag), k, n))
+        return rows.withColumn("start", episode_starts(keys, ts, "alert"))
+
+    return in_blocks(df, entity, ts, n, judged, **sizes)
+
+
+def adaptive_threshold(df: DataFrame, entity: str, ts: str, score: str, q: float, lag: int = 288, lookback: int = 2016, least: int = 864) -> DataFrame:
+    """entity, ts, score and threshold: the exact quantile of the scores in a lagged window of rows; null until `least` of them are there."""
+    made = trailing_quantiles(df, entity, ts, score, [q], lag, lookback, least, "_limits")
+    return made.withColumn("threshold", F.get("_limits", F.lit(0))).drop("_limits")
 
 
 def evaluate_any_alert(df: DataFrame, ts: str, alert: str, windows: DataFrame, horizon_h: int = 24, early_h: float = 2.0) -> DataFrame:
@@ -110,7 +127,7 @@ def evaluate_starts(df: DataFrame, ts: str, start: str, windows: DataFrame, hori
     """One row: episodes, those that begin in [s - horizon, s) of a failure, precision, recall and false episodes a day."""
     t = seconds(F.col(ts))
     w = windows.withColumn("_s", seconds(F.col("failure_start")))
-    starts = df.filter(F.col(start)).select(F.monotonically_increasing_id().alias("_id"), t.alias("_t"))
+    starts = df.filter(F.col(start)).select(F.struct(*df.columns).alias("_id"), t.alias("_t"))  # an episode is its row: entity and time
     met = near_windows(starts, F.col("_t"), w, F.col("_s") - horizon_h * HOUR, F.col("_s"), "left")
     warns = F.col("_t") < F.col("_s")  # the join takes the failure's own second too
     days = df.agg(F.greatest((F.max(t) - F.min(t)) / 86400, F.lit(1e-9)).alias("days"))
@@ -163,9 +180,9 @@ def classwise_split(df: DataFrame, label: str, order: str, held_out: float = 0.2
 
 def split_by_position(df: DataFrame, entity: str, ts: str, share: float) -> DataFrame:
     """part of each row: TRAIN for the first share of the rows of an entity by position, CALIBRATION for the rest."""
-    place = F.row_number().over(Window.partitionBy(entity).orderBy(ts))
-    many = F.count("*").over(Window.partitionBy(entity))
-    return df.withColumn("part", F.when(place <= F.floor(F.round(share * many, 6)), "TRAIN").otherwise("CALIBRATION"))
+    many = df.groupBy(F.col(entity).alias("_e")).agg(F.count("*").alias("_many"))
+    placed = numbered(df, entity, ts, "_place").join(many, F.col(entity).eqNullSafe(F.col("_e")))
+    return placed.withColumn("part", F.when(F.col("_place") < F.floor(F.round(share * F.col("_many"), 6)), "TRAIN").otherwise("CALIBRATION")).drop("_place", "_e", "_many")
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -388,8 +388,7 @@ def alerts(p: Plant) -> DataFrame:
     known = bins(p).filter("n > 0")
     z = telemetry.robust_z(known, ["tp2_mean", "comp_active", "tp2_move"], F.col("bin") < F.lit("2024-01-08").cast("timestamp_ntz"))
     hot = z.withColumn("hot", F.coalesce(F.col("robust_z") >= 1.2, F.lit(False)))
-    alert = hot.withColumn("alert", telemetry.k_of_n(hot, "equipment_id", "bin", F.col("hot"), 2, 3))
-    return alert.withColumn("start", telemetry.episode_starts("equipment_id", "bin", "alert"))
+    return telemetry.persistent_alerts(hot, "equipment_id", "bin", "hot", 2, 3)
 
 
 query(
@@ -409,7 +408,7 @@ query(
     "ts12_adaptive_threshold",
     "equipment_id bin threshold~",
     "select equipment_id, bin, case when count(z) over f >= 24 then quantile_cont(z, 0.985) over f end threshold from rob window f as (partition by equipment_id order by bin rows between 95 preceding and 24 preceding)",
-)(lambda p: alerts(p).withColumn("threshold", telemetry.adaptive_threshold("equipment_id", "bin", "robust_z", 0.985, 24, 72, 24)))
+)(lambda p: telemetry.adaptive_threshold(alerts(p), "equipment_id", "bin", "robust_z", 0.985, 24, 72, 24))
 query(
     "ts14_any_alert",
     "failure_id detected lead_hours~ early",
