@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kilnworks.functions.measures import ratio
 from kilnworks.operators.blocks import in_blocks, numbered, trailing_quantiles
 from kilnworks.operators.control import HOUR, seconds
+from kilnworks.operators.ranks import exact_quantiles, running_totals
 
 
 def clean_series(df: DataFrame, entity: str, ts: str, tie: list[str]) -> DataFrame:
@@ -139,10 +140,12 @@ def evaluate_starts(df: DataFrame, ts: str, start: str, windows: DataFrame, hori
 
 def robust_z(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """Largest distance from the training median over all columns, in interquartile ranges; a range of 0 counts as none."""
-    quart = df.filter(train).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    df = df.crossJoin(F.broadcast(quart))  # one row
-    z = [F.abs(F.col(c) - F.col(f"_q_{c}")[1]) / F.nullif(F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0], F.lit(0.0)) for c in columns]
-    return df.withColumn("robust_z", F.greatest(*z) if len(z) > 1 else z[0]).drop(*[f"_q_{c}" for c in columns])
+    quartiles = exact_quantiles(df.filter(train), columns, [0.25, 0.5, 0.75])
+    z = []
+    for c in columns:
+        low, middle, high = quartiles[c]
+        z.append(F.abs(F.col(c) - F.lit(middle).cast("double")) / F.lit(high - low if middle is not None and high > low else None).cast("double"))
+    return df.withColumn("robust_z", F.greatest(*z) if len(z) > 1 else z[0])
 
 
 def forecast_features(df: DataFrame, entity: str, date: str, target: str, lags: tuple[int, ...] = (1, 7, 14, 28), rolls: tuple[int, ...] = (7, 28)) -> DataFrame:
@@ -188,9 +191,8 @@ def split_by_position(df: DataFrame, entity: str, ts: str, share: float) -> Data
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: precision at each distinct score, weighted by the recall it adds; null where nothing is positive.
 
-    Rows are summed by score first, so the window that adds them up holds a row for each distinct score.
+    Rows are summed by score; scores are cut into ranges, so no task holds all of them.
     """
-    by = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    made = by.withColumns({"hits": F.sum("pos").over(down), "seen": F.sum("n").over(down), "total": F.sum("pos").over(Window.partitionBy(F.lit(0)))})
-    return made.agg(F.sum(ratio("pos", "total") * F.col("hits") / F.col("seen")).alias("average_precision"))
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
+    made = running_totals(by, "score", ["pos", "n"], descending=True).crossJoin(F.broadcast(by.agg(F.sum("pos").alias("total"))))  # one row
+    return made.agg(F.sum(ratio("pos", "total") * F.col("run_pos") / F.col("run_n")).alias("average_precision"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kilnworks.operators import blocks, telemetry
+from kilnworks.operators import blocks, ranks, telemetry
 
 KIND = "e long, t timestamp_ntz, v double"
 
@@ -107,3 +107,40 @@ def test_thresholds_and_alerts_across_blocks(spark):
     plain = plain.withColumn("start", telemetry.episode_starts("e", "t", "alert"))
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     assert blocks.trailing_quantiles(df.limit(0), "e", "t", "v", [0.9], 3, 20, 5, "q").collect() == []
+
+
+@pytest.mark.parametrize(("cells", "few"), [(4, 3), (1024, 10), (8, 100_000)])
+def test_selection_equals_numpy(spark, cells, few):
+    rng = random.Random(6)
+    rows = [(rng.choice([1.5, rng.gauss(0, 1), 1e300 * rng.random()]), float(k % 3), None if k % 5 else -7.0, None) for k in range(900)] + [(float("nan"), 1.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = ranks.exact_quantiles(df, ["a", "b", "c", "d"], probabilities, cells=cells, few=few)
+    for k, c in enumerate("abc"):
+        known = [r[k] for r in rows if r[k] is not None and r[k] == r[k]]
+        assert got[c] == pytest.approx(np.quantile(known, probabilities).tolist(), rel=1e-12)
+    assert got["d"] == [None] * 5
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_equal_a_window(spark, descending):
+    df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7).alias("score"), F.col("id").alias("n"), (F.col("id") % 3).alias("pos")).dropDuplicates(["score"])
+    order = F.desc("score") if descending else F.asc("score")
+    window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("score", "n", "pos", F.sum("pos").over(window).alias("run_pos"), F.sum("n").over(window).alias("run_n"))
+    made = ranks.running_totals(df, "score", ["pos", "n"], descending, ranges=16)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    assert ranks.running_totals(df.limit(0), "score", ["pos"]).collect() == []
+    one = ranks.running_totals(df.limit(1), "score", ["n"]).first()
+    assert one.run_n == one.n
+
+
+def test_average_precision_of_ties_nulls_and_nothing(spark):
+    kind = "hit boolean, z double"
+    rows = [(True, 3.0), (False, 3.0), (True, 2.0), (False, 1.0), (True, 1.0), (True, None)]
+    want = (1 / 4) * (1 / 2) + (1 / 4) * (2 / 3) + (1 / 4) * (3 / 5)
+    known = [r for r in rows if r[1] is not None]
+    got = telemetry.average_precision(spark.createDataFrame(known, kind), "hit", "z").first()[0]
+    assert got == pytest.approx(want * 4 / 3)
+    assert telemetry.average_precision(spark.createDataFrame([(False, 1.0)], kind), "hit", "z").first()[0] is None
+    assert telemetry.average_precision(spark.createDataFrame([], kind), "hit", "z").first()[0] is None
