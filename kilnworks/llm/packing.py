@@ -6,8 +6,9 @@ programming over them picks the bucket boundaries with the least padding in all;
 never falls as lengths grow, so each step searches by halves. Inside a bucket, documents are numbered and cut into
 batches whose padded size stays within a token budget (a document longer than the budget is a batch of its own).
 
-Numbers come from counts by hash shard, summed up, and a row number inside each shard; a bucket that holds most
-documents therefore spreads over as many tasks as it has shards.
+Lengths are counts of word pieces under the vocabulary of `token_counts`, unless another length is given. Numbers come
+from counts by hash shard, summed up, and a row number inside each shard; a bucket that holds most documents therefore
+spreads over as many tasks as it has shards, and so do rows that are all alike, as the hash takes in their place.
 
 Edge cases: null and empty texts have length 0 and go to the smallest bucket; an empty table gives an empty result;
 repeated rows take slots of their own; ids may be null or repeated; other columns are not read.
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnworks.llm.scratch import cut
+from kilnworks.llm.token_counts import count_tokens
 
 BUCKETS = 16
 BUDGET = 16_384
@@ -85,8 +87,12 @@ def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> lis
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens, batch, slot and padding of each row; batches are numbered inside their bucket from 0."""
-    length = word_count(F.col(text)) if length is None else length
-    sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), length.cast("long").alias("n_tokens")), "lengths")
+    columns = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy")]
+    if length is None:
+        sizes = count_tokens(docs.select(*columns, F.col(text).alias("text"))).select("doc_id", "copy", "n_tokens")
+    else:
+        sizes = docs.select(*columns, length.cast("long").alias("n_tokens"))
+    sizes = cut(sizes.withColumn("place", F.monotonically_increasing_id()), "lengths")
     counts = sizes.groupBy("n_tokens").count().collect()
     tops = boundaries([(size, rows, size * rows) for size, rows in counts], buckets)
     shards = max(1, -(-sum(rows for _, rows in counts) // SHARD_ROWS))
@@ -95,11 +101,11 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: Co
     for k in range(len(tops) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= tops[k], k).otherwise(bucket)
         limit = F.when(F.col("n_tokens") <= tops[k], tops[k]).otherwise(limit)
-    placed = sizes.withColumns({"bucket": bucket.cast("int"), "bucket_tokens": limit.cast("long"), "shard": F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards))})
+    placed = sizes.withColumns({"bucket": bucket.cast("int"), "bucket_tokens": limit.cast("long"), "shard": F.pmod(F.xxhash64("doc_id", "copy", "place"), F.lit(shards))})
     held = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     held = held.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = placed.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "copy")) - 1).join(held, ["bucket", "shard"])
+    numbered = placed.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "copy", "place")) - 1).join(held, ["bucket", "shard"])
     in_batch = F.greatest(F.lit(1), F.floor(budget / F.greatest(F.col("bucket_tokens"), F.lit(1))))
     at = F.col("before") + F.col("row")
     return numbered.select(

@@ -226,3 +226,60 @@ def test_sketch_clears_lone_texts(spark):
     sketch, buckets = filter_audit.repeat_sketch(hashes.union(hashes.limit(50)), 20_050)
     found = filter_audit.possible_repeats(hashes, sketch, buckets).filter("repeats").count()
     assert 50 <= found < 400
+
+
+def test_packing_spreads_rows_that_are_all_alike(spark, monkeypatch):
+    from kilnworks.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_ROWS", 100)
+    docs = spark.createDataFrame([(1, "the same kiln")] * 1500 + [(2, "another kiln, longer")] * 3, "doc_id long, text string").repartition(4)
+    made = packing.pack(docs, budget=12, buckets=2).collect()
+    assert len(made) == 1503
+    places = [(r.bucket, r.batch, r.slot) for r in made]
+    assert len(set(places)) == len(places)
+    by_bucket = {}
+    for r in made:
+        by_bucket.setdefault(r.bucket, []).append(r)
+        assert r.n_tokens == len([t for t in pieces(r.doc_id)])
+    for held in by_bucket.values():
+        size = max(1, 12 // held[0].bucket_tokens)
+        assert sorted((r.batch, r.slot) for r in held) == [(k // size, k % size) for k in range(len(held))]
+
+
+def pieces(doc_id):
+    """Greedy longest pieces of a word, by trying all of them."""
+    from kilnworks.llm import token_counts
+
+    known = set(token_counts.read_pieces())
+    out = []
+    for word in {1: "the same kiln", 2: "another kiln, longer"}[doc_id].split():
+        rest = (token_counts.MARK + word).encode()
+        while rest:
+            n = next((k for k in range(len(rest), 0, -1) if rest[:k] in known), 1)
+            out.append(rest[:n])
+            rest = rest[n:]
+    return out
+
+
+def test_labelled_texts_are_bounded_though_ids_repeat(spark):
+    from kilnworks.llm import toxicity
+
+    seen = []
+    plain = toxicity.cut
+
+    def watched(df, name):
+        made = plain(df, name)
+        if name == "known":
+            seen.append(made.count())
+        return made
+
+    toxicity.cut, before = watched, toxicity.cut
+    try:
+        docs = spark.createDataFrame([(7, f"vile rot scum {k % 400}") for k in range(3000)] + [(k + 10, f"calm kiln glaze {k}") for k in range(30)], "doc_id long, text string")
+        labels = spark.createDataFrame([(7, 1)] + [(k + 10, 0) for k in range(30)], "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels, rows=200)
+    finally:
+        toxicity.cut = before
+    assert seen == [200]
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert scores[7] > scores[15]
