@@ -139,16 +139,16 @@ def fit_weights(docs: np.ndarray, features: np.ndarray, ratio: np.ndarray, label
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, features: int = FEATURES) -> Model:
-    """A model from `rows` labelled ids at most, and of the different texts that they have `rows` at most, those of least hash."""
+    """A model from `rows` labelled ids at most, and `rows` of the texts that they have, those of least hash."""
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id", "text").alias("key"), "text", "label")
+    known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label", F.xxhash64("_id", "text", "label").alias("key"))
     known = cut(known, "labelled")  # the corpus is read once for all that follows
-    keys = known.select("key", "label").distinct()
-    last = keys.orderBy("key", "label").limit(rows).agg(F.max(F.struct("key", "label"))).first()[0]  # keys alone are sorted
-    if last is not None:  # repeated ids may bring any number of rows
-        known = known.filter(F.struct("key", "label") <= F.struct(F.lit(last.key), F.lit(last.label)))
-    known = cut(known.dropDuplicates(["key", "label"]).select("text", "label"), "known")
+    if known.count() > rows:  # ids that repeat bring more texts: keep those of least hash, of rows that are all alike any
+        last = known.select("key").orderBy("key").limit(rows).agg(F.max("key")).first()[0]  # keys alone are sorted
+        known = known.filter(F.col("key") < last).unionByName(known.filter(F.col("key") == last).limit(1))
+        known = cut(known, "known")
+    known = known.select("text", "label")
     counts = known.mapInArrow(_count, "h long, label int, n long")
     by_gram = counts.groupBy("h").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
     texts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
