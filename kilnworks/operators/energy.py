@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.functions.measures import ratio, share
+from kilnworks.operators.production import grouped
 
 
 def shift_energy_kpi(production: DataFrame) -> DataFrame:
@@ -20,9 +21,10 @@ def shift_energy_kpi(production: DataFrame) -> DataFrame:
     )
 
 
-def energy_rollup(shifts: DataFrame, keys: list[str]) -> DataFrame:
+def energy_rollup(shifts: DataFrame, keys: list[str] | dict[str, list[str]]) -> DataFrame:
+    """Energy at a coarser grain, or at several, by name, in one pass."""
     sums = [F.sum(c).alias(c) for c in ("electricity_kwh", "actual_quantity", "good_quantity", "operating_time_min")]
-    df = shifts.groupBy(*keys).agg(*sums, F.avg("average_demand_kw").alias("average_demand_kw"))
+    df = grouped(shifts, keys, [*sums, F.avg("average_demand_kw").alias("average_demand_kw")])
     return df.withColumns({"kwh_per_1000": ratio(F.col("electricity_kwh") * 1000, "actual_quantity"), "kwh_per_1000_good": ratio(F.col("electricity_kwh") * 1000, "good_quantity"), "kwh_per_operating_hour": ratio("electricity_kwh", F.col("operating_time_min") / 60)})
 
 

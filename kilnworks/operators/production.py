@@ -82,12 +82,27 @@ def shift_loss_accounting(loss: DataFrame, values: DataFrame) -> DataFrame:
 SUMS = ["planned_quantity", "actual_quantity", "good_quantity", "reject_quantity"]
 
 
-def kpi_rollup(kpi: DataFrame, keys: list[str]) -> DataFrame:
-    """Shift KPIs at a coarser grain, by ratios of sums."""
+def grouped(df: DataFrame, keys: list[str] | dict[str, list[str]], measures: list[Column]) -> DataFrame:
+    """The measures by keys; or, for {grain: keys}, all grains in one pass over df, with column `grain` and null in the keys that a grain lacks."""
+    if isinstance(keys, list):
+        return df.groupBy(*keys).agg(*measures)
+    every = list(dict.fromkeys(k for own in keys.values() for k in own))
+    ids = {sum(1 << (len(every) - 1 - i) for i, k in enumerate(every) if k not in own): name for name, own in keys.items()}
+    if len(ids) < len(keys):
+        raise ValueError("two grains have the same keys")
+    made = df.groupingSets([[F.col(k) for k in own] for own in keys.values()], *every).agg(F.grouping_id().alias("_grain"), *measures)
+    grain = F.lit(None).cast("string")
+    for number, name in ids.items():
+        grain = F.when(F.col("_grain") == number, name).otherwise(grain)
+    return made.withColumn("grain", grain).drop("_grain")
+
+
+def kpi_rollup(kpi: DataFrame, keys: list[str] | dict[str, list[str]]) -> DataFrame:
+    """Shift KPIs at a coarser grain (or at several, by name, in one pass), by ratios of sums."""
     sums = [F.sum(c).alias(c) for c in [*SUMS, "operating_time_min", "planned_production_time_min"]]
     capacity = F.sum(F.col("operating_time_min") / 60 * F.col("nominal_rate")).alias("capacity")
     gross = F.sum(F.col("planned_production_time_min") / 60 * F.col("nominal_rate")).alias("gross_capacity")
-    df = kpi.groupBy(*keys).agg(F.count("*").alias("shift_count"), *sums, capacity, gross)
+    df = grouped(kpi, keys, [F.count("*").alias("shift_count"), *sums, capacity, gross])
     df = df.withColumns(
         {
             "availability": ratio("operating_time_min", "planned_production_time_min"),
@@ -105,8 +120,9 @@ def kpi_rollup(kpi: DataFrame, keys: list[str]) -> DataFrame:
 LOSSES = ["theoretical_capacity_units", "availability_loss_units", "performance_loss_units", "quality_loss_units", "plan_shortfall_units", "total_technical_loss_units", "technical_capacity_gap_units", "total_technical_eur"]
 
 
-def loss_rollup(accounting: DataFrame, keys: list[str]) -> DataFrame:
-    df = accounting.groupBy(*keys).agg(F.sum("good_quantity").alias("good_quantity"), *[F.sum(c).alias(c) for c in LOSSES])
+def loss_rollup(accounting: DataFrame, keys: list[str] | dict[str, list[str]]) -> DataFrame:
+    """Losses at a coarser grain, or at several, by name, in one pass."""
+    df = grouped(accounting, keys, [F.sum("good_quantity").alias("good_quantity"), *[F.sum(c).alias(c) for c in LOSSES]])
     return df.withColumn("technical_output_efficiency", ratio("good_quantity", "theoretical_capacity_units"))
 
 

@@ -28,6 +28,14 @@ REQUIRED = {
     "MAINT": ("fact_maintenance", "work_order_id downtime_event_id equipment_id start_timestamp end_timestamp"),
     "ENERGY": ("fact_production", "source_record_id electricity_kwh timestamp_start site_id line_id"),
 }
+#: Fields that enterprise telemetry must have, its kind of equipment in the projection, and its lineage.
+TELEMETRY_FIELDS = """event_timestamp source_event_timestamp site_id equipment_id source_dataset_id scenario_source_dataset_id condition_score degradation_index condition_state
+  selected_warning_state selected_warning_horizon_hours source_data_origin scenario_type transformation_basis degradation_signal_origin"""
+TELEMETRY_EQUIPMENT = "CONVEYOR"
+LINEAGE = {
+    "source_data_origin": "EXTERNAL_REAL", "scenario_type": "SYNTHETIC_ENTERPRISE_ADAPTATION", "transformation_basis": "METROPT_INFORMED",
+    "degradation_signal_origin": "SYNTHETIC_CONTROLLED", "source_code": "METROPT3", "scenario_code": "METROPT3_ENTERPRISE_PDM",
+}
 KEYS = {"PROD": "source_record_id", "DT": "source_record_id", "QUALITY": "source_record_id", "MAINT": "work_order_id", "ENERGY": "source_record_id"}
 
 
@@ -50,6 +58,15 @@ def site_energy(p: Plant) -> DataFrame:
     return p.fact_site_energy_detail.join(lines, keys, "left")
 
 
+def lineage(p: Plant) -> DataFrame:
+    """Enterprise telemetry beside the site and type of its equipment and the codes of its two datasets; nothing is lost where those are missing."""
+    place = p.dim_equipment.join(p.dim_line.select("line_id", F.col("site_id").alias("known_site")), "line_id", "left").select("equipment_id", "equipment_type", "known_site")
+    codes = F.broadcast(p.dim_source_dataset)  # a row for each registered dataset
+    source = codes.select("source_dataset_id", "source_code")
+    scenario = codes.select(F.col("source_dataset_id").alias("scenario_source_dataset_id"), F.col("source_code").alias("scenario_code"))
+    return p.enterprise_telemetry.join(place, "equipment_id", "left").join(source, "source_dataset_id", "left").join(scenario, "scenario_source_dataset_id", "left")
+
+
 def all_rules(p: Plant) -> DataFrame:
     """The 29 rules; those on rows of one table share its scan."""
     rule = checks.RowRule
@@ -60,7 +77,7 @@ def all_rules(p: Plant) -> DataFrame:
     rows["fact_production"] += [
         rule("PROD_QTY_RECON", c("actual_quantity") != c("good_quantity") + c("reject_quantity")),
         rule("PROD_TIME_VALID", (c("operating_time_min") < 0) | (c("operating_time_min") > c("planned_production_time_min"))),
-        rule("ENERGY_POSITIVE", (c("electricity_kwh") <= 0) | (c("electricity_kwh") / (c("planned_production_time_min") / 60) <= 0)),
+        rule("ENERGY_POSITIVE", (c("electricity_kwh") <= 0) | (F.try_divide(c("electricity_kwh"), c("planned_production_time_min") / 60) <= 0)),
     ]
     rows["fact_downtime"].append(rule("DT_DURATION_RECON", _off(_minutes("event_start", "event_end"), c("duration_min"))))
     rows["fact_maintenance"].append(rule("MAINT_INTERVAL_VALID", c("end_timestamp") < c("start_timestamp")))
@@ -68,8 +85,7 @@ def all_rules(p: Plant) -> DataFrame:
     step = Window.partitionBy("equipment_id").orderBy("event_timestamp", "event_id")
     seconds = F.unix_timestamp(c("event_timestamp").cast("timestamp_ltz"))
     cadence = telemetry.withColumn("gap", seconds - F.lag(seconds).over(step)).filter("gap IS NOT NULL")
-    known = p.dim_equipment.select(c("equipment_id").cast("int").alias("equipment_id"), F.lit(True).alias("known"))
-    mapped = telemetry.join(known, "equipment_id", "left")
+    enterprise = lineage(p)
     years = prod.agg((PRICES * F.countDistinct(F.floor(c("date_id") / 10000))).alias("evaluated"))
     prices = p.ref_price.agg(F.count("*").alias("n")).crossJoin(years)  # one row each
     return checks.results(
@@ -87,10 +103,10 @@ def all_rules(p: Plant) -> DataFrame:
             checks.run_row_rules(p.fact_line_energy_detail, [rule("LINE_ENERGY_RECON", _off(c("line_production_electricity_kwh") + c("line_idle_electricity_kwh"), c("line_total_electricity_kwh")))]),
             prices.select(F.lit("EUROSTAT_PRICE_COVERAGE").alias("rule_code"), "evaluated", F.abs(c("evaluated") - c("n")).alias("failed")),
             checks.run_row_rules(p.ref_price, [rule("EUROSTAT_PRICE_POSITIVE", c("price_value").isNull() | (c("price_value") <= 0))]),
-            checks.run_row_rules(mapped, [
-                rule("TELEMETRY_REQUIRED_FIELDS_COMPLETE", _null("event_timestamp equipment_id tp2 tp3 comp")),
-                rule("TELEMETRY_ENTERPRISE_MAPPING_VALID", ~c("known").eqNullSafe(True)),
-                rule("TELEMETRY_LINEAGE_VALID", ~c("tp3").eqNullSafe(c("tp2") * 0.5 + 10)),
+            checks.run_row_rules(enterprise, [
+                rule("TELEMETRY_REQUIRED_FIELDS_COMPLETE", _null(TELEMETRY_FIELDS)),
+                rule("TELEMETRY_ENTERPRISE_MAPPING_VALID", c("known_site").isNull() | ~c("known_site").eqNullSafe(c("site_id")) | ~c("equipment_type").eqNullSafe(TELEMETRY_EQUIPMENT)),
+                rule("TELEMETRY_LINEAGE_VALID", reduce(lambda a, b: a | b, [~c(k).eqNullSafe(v) for k, v in LINEAGE.items()]) | F.coalesce(c("source_event_timestamp") >= c("event_timestamp"), F.lit(False))),
             ]),
             checks.extra_rows(telemetry, "TELEMETRY_EQUIPMENT_TIMESTAMP_UNIQUE", ["equipment_id", "event_timestamp"]),
             checks.run_row_rules(cadence, [rule("TELEMETRY_CADENCE_CONTINUITY", c("gap") != CADENCE)]),
@@ -117,7 +133,7 @@ _PARTS = [
     *[f"select '{k}_DUP_SOURCE', sum(n), count(*) filter (n > 1) from (select count(*) n from {REQUIRED[k][0]} group by {key}) g" for k, key in KEYS.items()],
     _count("PROD_QTY_RECON", "actual_quantity <> good_quantity + reject_quantity", "fact_production"),
     _count("PROD_TIME_VALID", "operating_time_min < 0 or operating_time_min > planned_production_time_min", "fact_production"),
-    _count("ENERGY_POSITIVE", "electricity_kwh <= 0", "fact_production"),
+    _count("ENERGY_POSITIVE", "electricity_kwh <= 0 or electricity_kwh / nullif(planned_production_time_min / 60, 0) <= 0", "fact_production"),
     _count("DT_DURATION_RECON", "abs(epoch(event_end - event_start) / 60 - duration_min) > 0.001", "fact_downtime"),
     _count("MAINT_INTERVAL_VALID", "end_timestamp < start_timestamp", "fact_maintenance"),
     _orphan("DT_LINEAGE", "fact_downtime", "production_record_id", "fact_production", "source_record_id"),
@@ -129,9 +145,11 @@ _PARTS = [
     _count("LINE_ENERGY_RECON", "abs(line_production_electricity_kwh + line_idle_electricity_kwh - line_total_electricity_kwh) > 0.001", "fact_line_energy_detail"),
     "select 'EUROSTAT_PRICE_COVERAGE', y, abs(y - n) from (select count(*) n from ref_price) a, (select 10 * count(distinct date_id // 10000) y from fact_production) b",
     _count("EUROSTAT_PRICE_POSITIVE", "price_value is null or price_value <= 0", "ref_price"),
-    _count("TELEMETRY_REQUIRED_FIELDS_COMPLETE", "event_timestamp is null or equipment_id is null or tp2 is null or tp3 is null or comp is null", "telemetry"),
-    _orphan("TELEMETRY_ENTERPRISE_MAPPING_VALID", "telemetry", "equipment_id", "dim_equipment", "equipment_id"),
-    _count("TELEMETRY_LINEAGE_VALID", "tp3 is distinct from tp2 * 0.5 + 10", "telemetry"),
+    _count("TELEMETRY_REQUIRED_FIELDS_COMPLETE", " or ".join(f"{x} is null" for x in TELEMETRY_FIELDS.split()), "enterprise_telemetry"),
+    _count("TELEMETRY_ENTERPRISE_MAPPING_VALID", f"s.site_id is null or s.site_id is distinct from t.site_id or e.equipment_type is distinct from '{TELEMETRY_EQUIPMENT}'",
+      "enterprise_telemetry t left join dim_equipment e on e.equipment_id = t.equipment_id left join dim_line a on a.line_id = e.line_id left join dim_site s on s.site_id = a.site_id"),
+    _count("TELEMETRY_LINEAGE_VALID", " or ".join(f"{x} is distinct from '{v}'" for x, v in LINEAGE.items()) + " or source_event_timestamp >= event_timestamp",
+      "(select t.*, a.source_code, b.source_code scenario_code from enterprise_telemetry t left join dim_source_dataset a using (source_dataset_id) left join dim_source_dataset b on b.source_dataset_id = t.scenario_source_dataset_id) x"),
     "select 'TELEMETRY_EQUIPMENT_TIMESTAMP_UNIQUE', sum(n), sum(n - 1) from (select count(*) n from telemetry group by equipment_id, event_timestamp) g",
     """select 'TELEMETRY_CADENCE_CONTINUITY', count(*), count(*) filter (gap <> 300) from (select cast(floor(epoch(event_timestamp)) as bigint) - lag(cast(floor(epoch(event_timestamp)) as bigint)) over
   (partition by equipment_id order by event_timestamp, event_id) gap from telemetry) g where gap is not null""",

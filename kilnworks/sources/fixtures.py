@@ -65,6 +65,13 @@ from (select site_id, shift_code, date_id, timestamp_start, sum(line_total_elect
     "ref_price": """select s.site_code geo_code, concat(cast(y.yr as string), h.half) period_code, cast(0.10 as double)+0.01*s.site_id+0.002*(y.yr-1995) price_value
 from dim_site s cross join (select distinct cast(date_id/10000 as int) yr from (select date_id - date_id % 10000 date_id from fact_production) d) y cross join (values ('-S1'),('-S2')) h(half)""",
     "telemetry": "select event_id, ts event_timestamp, cast(user_id % 5 as int) equipment_id, value tp2, value*0.5+10 tp3, case when event_type='error' then 1 else 0 end comp from events",
+    "dim_source_dataset": "select * from (values (1,'METROPT3'),(2,'METROPT3_ENTERPRISE_PDM'),(3,'OTHER')) v(source_dataset_id, source_code)",
+    "enterprise_telemetry": """select t.event_id, t.event_timestamp, case when t.event_id % 211 = 0 then t.event_timestamp else t.event_timestamp - interval '4' year end source_event_timestamp,
+  cast(case when t.event_id % 89 = 0 then 0 else x.site_id end as int) site_id, t.equipment_id, case when t.event_id % 151 = 0 then 3 else 1 end source_dataset_id, 2 scenario_source_dataset_id,
+  case when t.event_id % 173 = 0 then null else 100 - t.tp2 / 10 end condition_score, t.comp*0.5 degradation_index, case when t.comp = 1 then 'DEGRADING' else 'NORMAL' end condition_state,
+  case when t.comp = 1 then 'WARNING' else 'NONE' end selected_warning_state, 24 selected_warning_horizon_hours, case when t.event_id % 97 = 0 then null else 'EXTERNAL_REAL' end source_data_origin,
+  'SYNTHETIC_ENTERPRISE_ADAPTATION' scenario_type, case when t.event_id % 199 = 0 then 'GUESSED' else 'METROPT_INFORMED' end transformation_basis, 'SYNTHETIC_CONTROLLED' degradation_signal_origin
+from telemetry t left join (select e.equipment_id, l.site_id from dim_equipment e join dim_line l on l.line_id = e.line_id) x on x.equipment_id = t.equipment_id""",
     "failure_window": """select failure_id, cast(s as timestamp) failure_start, cast(e as timestamp) failure_end from (values ('1','2024-01-08 10:00:00','2024-01-08 14:00:00'),('2','2024-01-15 00:00:00','2024-01-15 06:00:00'),('3','2024-01-20 12:00:00','2024-01-20 18:00:00'),('4','2024-01-26 09:00:00','2024-01-26 12:00:00')) v(failure_id,s,e)""",
 }
 RAW = ["region", "nation", "supplier", "part", "lineitem", "events"]
