@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kilnworks.operators import production
 from kilnworks.plans import gates, grains
@@ -50,7 +51,7 @@ def test_rules_count_planted_rows_and_survive_zero_minutes(spark):
         "event_id": -1, "site_id": 1, "equipment_id": 1, "source_dataset_id": 1, "scenario_source_dataset_id": 2, "condition_score": 1.0, "degradation_index": Decimal(0), "condition_state": "NORMAL", "selected_warning_state": "NONE",
         "selected_warning_horizon_hours": 24, "source_data_origin": "EXTERNAL_REAL", "scenario_type": "SYNTHETIC_ENTERPRISE_ADAPTATION", "transformation_basis": "METROPT_INFORMED", "degradation_signal_origin": "SYNTHETIC_CONTROLLED",
     }
-    kind = p.enterprise_telemetry.schema
+    kind = StructType([StructField(f.name, f.dataType) for f in p.enterprise_telemetry.schema])
     place = p.dim_equipment.filter("equipment_id = 1").join(p.dim_line, "line_id").first()
     stamp = p.enterprise_telemetry.filter("source_event_timestamp < event_timestamp").first()
     good |= {"site_id": place.site_id, "event_timestamp": stamp.event_timestamp, "source_event_timestamp": stamp.source_event_timestamp}
