@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kilnworks.operators.blocks import in_blocks, trailing_quantiles
 from kilnworks.operators.control import HOUR, seconds
 from kilnworks.operators.telemetry import near_windows
+from kilnworks.sources.silver import find_column
 
 # The grid that is compared, and the alert budget a policy has to keep.
 QUANTILES = (0.985, 0.990, 0.9925, 0.995)
@@ -40,6 +41,16 @@ def parse_windows(df: DataFrame, starts: list[str], ends: list[str]) -> DataFram
     return df.filter(begin.isNotNull() & end.isNotNull()).withColumns({"failure_start": F.least(begin, end), "failure_end": F.greatest(begin, end)})
 
 
+def infer_windows(df: DataFrame, starts: list[str], ends: list[str], share: float = 0.80) -> DataFrame:
+    """parse_windows on a table whose columns may have other names: the start is the first known name, else the column of which most values are times, the end likewise among the others."""
+    start = find_column(df, starts, "timestamp_ntz", share)
+    end = find_column(df, ends, "timestamp_ntz", share, taken=(start,) if start else ())
+    if start is None or end is None:
+        raise ValueError(f"no column holds times for {starts if start is None else ends}")
+    text = df.select(*[F.col(f"`{c}`").cast("string").try_cast("timestamp_ntz").alias(c) if c in (start, end) else F.col(f"`{c}`") for c in df.columns])
+    return parse_windows(text, [start], [end])
+
+
 def grid_alerts(
     df: DataFrame, entity: str, ts: str, score: str, quantiles: tuple = QUANTILES, persistence: tuple = PERSISTENCE, lag: int = 288, lookback: int = 2016, least: int = 864
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnworks.plans import gates, grains, landing_checks, manufacturing, modelling, reporting, streams  # noqa: F401  (the others register their queries when imported)
+from kilnworks.plans import gates, grains, landing_checks, manufacturing, modelling, raw_files, reporting, streams  # noqa: F401  (the others register their queries when imported)
 
 QUERIES = dict(manufacturing.QUERIES)
 ORACLES = dict(manufacturing.ORACLES)

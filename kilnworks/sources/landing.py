@@ -39,6 +39,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return placed.join(F.broadcast(shifts), part).withColumn(name, F.col(name) + F.col(row)).drop(part, row)
 
 
+def format_id(df: DataFrame, name: str, pattern: str) -> DataFrame:
+    """df with a text id from the position of each row (from 1), such as 'UNIT-%06d'."""
+    at = unused(df.columns, "at")
+    return numbered(df, at).withColumn(name, F.format_string(pattern, F.col(at) + 1)).drop(at)
+
+
 def zip_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Columns of two positional tables side by side; tables of unlike length fail the job."""
     at = unused([*left.columns, *right.columns], "at")

@@ -47,6 +47,41 @@ def parse_ts(df: DataFrame, column: str, pattern: str, strict: bool = False) ->
     return df.withColumn(column, made)
 
 
+def parse_shares(df: DataFrame, columns: list[str], kinds: dict[str, str]) -> dict[str, dict[str, float | None]]:
+    """For each kind (a name: a Spark type) the share of the known, non-blank values of each column that cast to it; None for a column without any.
+
+    All columns and kinds are one aggregate.
+    """
+    value = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns}
+    asks = [F.count(v).alias(f"known {i}") for i, v in enumerate(value.values())]
+    asks += [F.count(v.try_cast(kind)).alias(f"cast {name} {i}") for name, kind in kinds.items() for i, v in enumerate(value.values())]
+    one = df.agg(*asks).first() if columns else None
+    return {name: {c: one[f"cast {name} {i}"] / one[f"known {i}"] if one[f"known {i}"] else None for i, c in enumerate(columns)} for name in kinds}
+
+
+def promote(df: DataFrame, kinds: dict[str, str], share: float = 0.95) -> DataFrame:
+    """Text columns become the first of kinds (by name: a Spark type) that more than `share` of their known values cast to; what doesn't cast is null."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    shares = parse_shares(df, text, kinds)
+    chosen = {c: next((kind for name, kind in kinds.items() if (shares[name][c] or 0) > share), None) for c in text}
+    return df.withColumns({c: F.nullif(F.trim(c), F.lit("")).try_cast(kind) for c, kind in chosen.items() if kind})
+
+
+def find_column(df: DataFrame, aliases: list[str], kind: str, share: float = 0.80, taken: tuple[str, ...] = ()) -> str | None:
+    """The column that is meant: the first alias that df has (whatever its case or marks); else the one of which most values cast to a kind, if at least `share` do.
+
+    Columns in `taken` are passed over; ties go to the column that stands first.
+    """
+    left = [c for c in df.columns if c not in taken]
+    named = {snake(c): c for c in reversed(left)}
+    for alias in aliases:
+        if snake(alias) in named:
+            return named[snake(alias)]
+    shares = parse_shares(df, left, {"k": kind})["k"]
+    best = max(left, key=lambda c: shares[c] or 0, default=None)
+    return best if best is not None and (shares[best] or 0) >= share else None
+
+
 def combine_date_time(date: str, time: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit(pattern))
 
@@ -57,8 +92,10 @@ def drop_blank(df: DataFrame) -> DataFrame:
     return df.dropna(how="all").drop(*[c for c in df.columns if not counts[c]])
 
 
-def with_lineage(df: DataFrame, **values: str) -> DataFrame:
-    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+def with_lineage(df: DataFrame, file_name: str | None = None, **values: str) -> DataFrame:
+    """df with literals, and with the name of the file that a row was read from, if a column for it is named (only right after a read)."""
+    made = df.withColumns({k: F.lit(v) for k, v in values.items()}) if values else df
+    return made.withColumn(file_name, F.col("_metadata.file_name")) if file_name else made
 
 
 def recode(column: str, codes: dict) -> Column:
@@ -71,6 +108,16 @@ def melt(df: DataFrame, key: str, values: str, hz: float) -> DataFrame:
     return df.select(key, F.posexplode(values).alias("sample_index", "value")).withColumn("seconds_from_start", F.col("sample_index") / hz)
 
 
+def melt_sensors(df: DataFrame, key: str, sensor: str, values: str, sensors: DataFrame) -> DataFrame:
+    """Samples of many sensors as rows, with seconds by the rate of each sensor, and its unit.
+
+    sensors has a row for each sensor: its name, hz and unit. A sensor without one keeps its samples; seconds are null.
+    """
+    known = F.broadcast(sensors.select(F.col(sensor), F.col("hz").cast("double").alias("hz"), "unit"))  # a row for each sensor
+    rows = df.select(key, sensor, F.posexplode(values).alias("sample_index", "value")).join(known, sensor, "left")
+    return rows.select(key, sensor, "sample_index", "value", F.try_divide("sample_index", "hz").alias("seconds_from_start"), "unit")
+
+
 def decode_jsonstat(df: DataFrame, sizes: list[int], codes: list[list[str]], names: list[str], values: str = "values") -> DataFrame:
     """A cube's map from flat index to value as one row for each cell with its codes (row-major order)."""
     cells = df.select(F.explode(values).alias("flat", "value")).withColumn("flat", F.col("flat").cast("long"))
@@ -83,18 +130,30 @@ def decode_jsonstat(df: DataFrame, sizes: list[int], codes: list[list[str]], nam
     return cells.select(*[coordinate[n].alias(n) for n in names], "value")
 
 
-def standardize_weather(df: DataFrame) -> DataFrame:
-    """Kelvin to Celsius, Pa to hPa, J to Wh, m to mm, and wind speed from its two parts."""
-    return df.select(
-        "site_code",
-        "timestamp_utc",
-        (F.col("t2m") - 273.15).alias("air_temperature_c"),
-        (F.col("d2m") - 273.15).alias("dewpoint_temperature_c"),
-        (F.col("sp") / 100).alias("surface_pressure_hpa"),
-        F.sqrt(F.col("u10") ** 2 + F.col("v10") ** 2).alias("wind_speed_m_s"),
-        (F.col("ssrd") / 3600).alias("solar_radiation_wh_m2"),
-        (F.col("tp") * 1000).alias("precipitation_mm"),
-    )
+# Names under which weather files hold a quantity, and what turns its unit into ours.
+WEATHER = {
+    "air_temperature_c": (["t2m", "2m_temperature"], lambda c: c - 273.15),
+    "dewpoint_temperature_c": (["d2m", "2m_dewpoint_temperature"], lambda c: c - 273.15),
+    "surface_pressure_hpa": (["sp", "surface_pressure"], lambda c: c / 100),
+    "solar_radiation_wh_m2": (["ssrd", "surface_solar_radiation_downwards"], lambda c: c / 3600),
+    "precipitation_mm": (["tp", "total_precipitation"], lambda c: c * 1000),
+}
+WIND = (["u10", "10m_u_component_of_wind"], ["v10", "10m_v_component_of_wind"])
+
+
+def standardize_weather(df: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Kelvin to Celsius, Pa to hPa, J to Wh, m to mm, and wind speed from its two parts; with the attributes of sites, if given.
+
+    Each quantity is read from the first of its names that df has; a quantity without any is null.
+    """
+
+    def found(names: list[str]) -> Column:
+        have = next((c for c in names if c in df.columns), None)
+        return F.col(f"`{have}`").cast("double") if have else F.lit(None).cast("double")
+
+    u, v = map(found, WIND)
+    made = df.select("site_code", "timestamp_utc", *[change(found(names)).alias(name) for name, (names, change) in WEATHER.items()], F.sqrt(u**2 + v**2).alias("wind_speed_m_s"))
+    return made.join(F.broadcast(sites), "site_code", "left") if sites is not None else made  # a row for each site
 
 
 def shift_of(ts: str) -> tuple[Column, Column]:
