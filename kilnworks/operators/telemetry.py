@@ -188,6 +188,25 @@ def split_by_position(df: DataFrame, entity: str, ts: str, share: float) -> Data
     return placed.withColumn("part", F.when(F.col("_place") < F.floor(F.round(share * F.col("_many"), 6)), "TRAIN").otherwise("CALIBRATION")).drop("_place", "_e", "_many")
 
 
+def split_by_month(df: DataFrame, entity: str, ts: str, excluded: str, share: float = 0.7, least: int = 100) -> DataFrame:
+    """part of each row: TRAIN and CALIBRATION in the first calendar month of an entity, cut at the time of its row number `share`; HOLDOUT later.
+
+    Excluded rows of the first month count for the cut, but are EXCLUDED from both parts. Rows of one time stay together.
+    An entity with fewer than `least` rows in its first month is an error. Rows without a time have no part.
+    """
+    timed = numbered(df.filter(F.col(ts).isNotNull()), entity, ts, "_place").select(F.col(entity).alias("_e"), F.col(ts).alias("_t"), "_place")
+    begins = timed.groupBy("_e").agg(F.add_months(F.trunc(F.min("_t"), "month"), 1).cast("timestamp_ntz").alias("_later"))
+    first = timed.join(begins.withColumnRenamed("_e", "_e2"), F.col("_e").eqNullSafe(F.col("_e2"))).filter(F.col("_t") < F.col("_later"))
+    many = first.groupBy("_e", "_later").agg(F.count("*").alias("_n"))
+    enough = F.when(F.col("_n") >= least, F.floor(F.round(share * F.col("_n"), 6))).otherwise(F.raise_error(F.lit(f"fewer than {least} rows in a first month")).cast("long"))
+    cut = many.select(F.col("_e").alias("_e3"), enough.alias("_at"), F.col("_later").alias("_next"))  # a row for each entity
+    ends = first.join(cut, F.col("_e").eqNullSafe(F.col("_e3")) & (F.col("_place") == F.col("_at"))).select("_e3", F.col("_t").alias("_end"), "_next")
+    made = df.join(ends, F.col(entity).eqNullSafe(F.col("_e3")), "left")
+    t, out = F.col(ts), F.coalesce(F.col(excluded), F.lit(False))
+    part = F.when(t >= F.col("_next"), "HOLDOUT").when(t.isNull(), None).when(out, "EXCLUDED").when(t < F.col("_end"), "TRAIN").otherwise("CALIBRATION")
+    return made.withColumn("part", part).drop("_e3", "_end", "_next")
+
+
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: precision at each distinct score, weighted by the recall it adds; null where nothing is positive.
 

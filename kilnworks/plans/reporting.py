@@ -225,3 +225,16 @@ query("ts9_split", "equipment_id part bins", """select equipment_id, case when k
   window w as (partition by equipment_id order by bin)) b group by 1, 2""")(
     lambda p: telemetry.split_by_position(m.bins(p), "equipment_id", "bin", 0.7).groupBy("equipment_id", "part").agg(F.count("*").alias("bins"))
 )
+
+
+def month_split(p: Plant) -> DataFrame:
+    """Days of each line, in parts by the month in which it begins; days with few units are left out of learning."""
+    days = p.fact_production.groupBy("line_id", F.date_trunc("day", "timestamp_start").cast("timestamp_ntz").alias("day")).agg(F.sum("good_quantity").alias("units"))
+    parts = telemetry.split_by_month(days.withColumn("few", F.col("units") < 1500), "line_id", "day", "few", least=1)
+    return parts.groupBy("line_id", "part").agg(F.count("*").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
+
+
+query("ts9_month_split", "line_id part days first last", """select line_id, part, count(*) as days, min(dy) as first, max(dy) as last from (select line_id, dy, case when dy >= later then 'HOLDOUT' when units < 1500 then 'EXCLUDED'
+  when dy < (arr)[cast(floor(round(0.7 * len(arr), 6)) as bigint) + 1] then 'TRAIN' else 'CALIBRATION' end part
+  from (select *, list(dy order by dy) filter (dy < later) over (partition by line_id) arr from (select *, date_trunc('month', min(dy) over (partition by line_id)) + interval 1 month later
+    from (select line_id, cast(cast(timestamp_start as date) as timestamp) dy, sum(good_quantity) units from fact_production group by 1, 2) a) b) c) d group by 1, 2""")(month_split)

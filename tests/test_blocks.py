@@ -144,3 +144,17 @@ def test_average_precision_of_ties_nulls_and_nothing(spark):
     assert got == pytest.approx(want * 4 / 3)
     assert telemetry.average_precision(spark.createDataFrame([(False, 1.0)], kind), "hit", "z").first()[0] is None
     assert telemetry.average_precision(spark.createDataFrame([], kind), "hit", "z").first()[0] is None
+
+
+def test_split_by_first_month_with_exclusions(spark):
+    t = lambda d, h=0, month=1: dt.datetime(2024, month, d, h)
+    rows = [(1, t(d), d in (2, 9)) for d in range(1, 11)] + [(1, t(1, 0, 2), True), (1, t(5, 0, 3), False), (1, None, False)]
+    rows += [(None, t(20, h), None) for h in range(10)]
+    df = spark.createDataFrame(rows, "e long, t timestamp_ntz, out boolean")
+    got = {(r.e, r.t): r.part for r in telemetry.split_by_month(df, "e", "t", "out", least=10).collect()}
+    want = {(1, t(d)): "EXCLUDED" if d in (2, 9) else "TRAIN" if d < 8 else "CALIBRATION" for d in range(1, 11)}
+    want |= {(1, t(1, 0, 2)): "HOLDOUT", (1, t(5, 0, 3)): "HOLDOUT", (1, None): None}
+    want |= {(None, t(20, h)): "TRAIN" if h < 7 else "CALIBRATION" for h in range(10)}
+    assert got == want
+    with pytest.raises(Exception, match="fewer than 11 rows"):
+        telemetry.split_by_month(df, "e", "t", "out", least=11).collect()
