@@ -161,7 +161,8 @@ def _shared(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, percent: in
     found = found.withColumns({"before": F.lag("n").over(by_size), "twin": F.coalesce(F.lag("k1").over(by_size) == F.col("k1"), F.lit(False))})
     gap = F.coalesce((100 * F.col("before") < percent * F.col("n")).cast("int"), F.lit(0))
     found = found.withColumn("run", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("NOT twin").drop("before", "twin", "n")
-    found = found.withColumn("many", F.count("*").over(run)).filter("many > 1").drop("many")
+    # All prefix columns are on disk only until this is written; the rounds shuffle what is left.
+    found = cut(found.withColumn("many", F.count("*").over(run)).filter("many > 1").drop("many"), "met")
     n, is_low = F.shiftright("at", 32), F.shiftright("at", 31).bitwiseAND(1)
     for _ in range(ROUNDS):
         missing = F.col("low") - F.sum(is_low).over(Window.partitionBy("k1"))
