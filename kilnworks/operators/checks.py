@@ -41,6 +41,27 @@ def orphans(df: DataFrame, code: str, key: str, parent: DataFrame, parent_key: s
     return df.join(known, F.col(key) == F.col("_k"), "left").agg(F.count("*").alias("evaluated"), F.count_if(F.col("_found").isNull()).alias("failed")).select(F.lit(code).alias("rule_code"), "evaluated", "failed")
 
 
+def key_rules(parent: DataFrame, key: str, duplicates: list[str], children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """`duplicate_groups` of the parent's key under each code, and `orphans` of its children (code: rows and their key), by one grouping.
+
+    Keys travel as digests of 128 bits, once for each row of parent and children. A null key groups, and has no parent.
+    """
+
+    def side(df: DataFrame, name: str, kind: int) -> DataFrame:
+        digest = lambda *salt: F.when(F.col(name).isNotNull(), F.xxhash64(*salt, F.col(name)))
+        return df.select(digest().alias("_a"), digest(F.lit("key")).alias("_b"), F.lit(kind).cast("byte").alias("_kind"))
+
+    sides = [side(parent, key, 0), *[side(df, name, k) for k, (df, name) in enumerate(children.values(), 1)]]
+    # Dealt out before they are grouped: keys hardly repeat inside a task, so there is nothing to sum up before.
+    rows = reduce(DataFrame.unionByName, sides).repartition("_a", "_b")
+    by = rows.groupBy("_a", "_b").agg(*[F.count_if(F.col("_kind") == k).alias(f"_{k}") for k in range(len(sides))])
+    found = {code: ("_0", F.count_if(F.col("_0") > 1)) for code in duplicates}
+    alone = F.col("_a").isNull() | (F.col("_0") == 0)
+    found |= {code: (f"_{k}", F.coalesce(F.sum(F.when(alone, F.col(f"_{k}"))), F.lit(0))) for k, code in enumerate(children, 1)}
+    made = [F.struct(F.lit(code).alias("rule_code"), F.coalesce(F.sum(n), F.lit(0)).alias("evaluated"), failed.alias("failed")) for code, (n, failed) in found.items()]
+    return by.agg(F.array(*made).alias("_rules")).select(F.inline("_rules"))
+
+
 def results(parts: list[DataFrame], warn: set[str] = frozenset()) -> DataFrame:
     """All results with rate and status; a failed rule of `warn` is WARN."""
     df = reduce(DataFrame.unionByName, parts)

@@ -13,6 +13,7 @@ from kilnworks.operators import checks, energy, production
 from kilnworks.plans import manufacturing as m
 from kilnworks.plans.manufacturing import query
 from kilnworks.sources.fixtures import Plant
+from kilnworks.sources.shared import written
 
 #: Prices expected for each year (5 sites, 2 halves); tolerance of reconciliations; cadence of telemetry.
 PRICES, TOLERANCE, CADENCE = 10, 0.001, 300
@@ -68,7 +69,12 @@ def lineage(p: Plant) -> DataFrame:
 
 
 def all_rules(p: Plant) -> DataFrame:
-    """The 29 rules; those on rows of one table share its scan."""
+    """The 29 rules, evaluated once however often a plan reads them."""
+    return p.once("rules", lambda p: written(_all_rules(p.kept()), "rules"))
+
+
+def _all_rules(p: Plant) -> DataFrame:
+    """Rules on rows of one table share its scan; those on keys share a grouping."""
     rule = checks.RowRule
     c = F.col
     rows: dict[str, list[checks.RowRule]] = {"fact_production": [], "fact_downtime": [], "fact_quality": [], "fact_maintenance": []}
@@ -91,11 +97,12 @@ def all_rules(p: Plant) -> DataFrame:
     return checks.results(
         [
             *[checks.run_row_rules(getattr(p, t), r) for t, r in rows.items()],
-            *[checks.duplicate_groups(getattr(p, REQUIRED[k][0]), f"{k}_DUP_SOURCE", [key]) for k, key in KEYS.items()],
-            checks.orphans(down, "DT_LINEAGE", "production_record_id", prod, "source_record_id"),
-            checks.orphans(p.fact_quality, "QUALITY_LINEAGE", "production_record_id", prod, "source_record_id"),
-            checks.orphans(p.fact_maintenance, "MAINT_LINEAGE", "downtime_event_id", down, "source_record_id"),
-            checks.orphans(p.fact_line_energy_detail, "ENERGY_LINEAGE", "production_record_id", prod, "source_record_id"),
+            checks.key_rules(prod, KEYS["PROD"], ["PROD_DUP_SOURCE", "ENERGY_DUP_SOURCE"], {
+                "DT_LINEAGE": (down, "production_record_id"), "QUALITY_LINEAGE": (p.fact_quality, "production_record_id"), "ENERGY_LINEAGE": (p.fact_line_energy_detail, "production_record_id"),
+            }),
+            checks.key_rules(down, KEYS["DT"], ["DT_DUP_SOURCE"], {"MAINT_LINEAGE": (p.fact_maintenance, "downtime_event_id")}),
+            checks.key_rules(p.fact_quality, KEYS["QUALITY"], ["QUALITY_DUP_SOURCE"], {}),
+            checks.key_rules(p.fact_maintenance, KEYS["MAINT"], ["MAINT_DUP_SOURCE"], {}),
             checks.run_row_rules(site_energy(p), [
                 rule("SITE_ENERGY_RECON", _off(c("line_electricity_kwh") + c("site_auxiliary_electricity_kwh"), c("site_total_electricity_kwh")) | _off(c("summed"), c("line_electricity_kwh"))),
                 rule("AUX_ENERGY_RECON", _off((c("site_auxiliary_base_kw") + c("site_weather_auxiliary_kw")) * c("shift_hours"), c("site_auxiliary_electricity_kwh"))),
