@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of an entity that are put in order at once, about.
+STRETCH = 1 << 19
 
 
 def _timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
@@ -30,25 +33,95 @@ def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
+def _packed(part: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(part, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+
+
 class _Waiting(StatefulProcessor):
-    """Rows that wait for the watermark, in the list state `rows` (time in microseconds first), and one timer."""
+    """Rows that wait for the watermark, in the list state `rows` as compressed Arrow batches (times in microseconds first), the least of them, and one timer.
+
+    No more than one batch and one stretch of about STRETCH rows are held as columns, and no row as a Python object before its bin is due.
+    """
 
-    row_schema = ""
     memory_schema = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.row_schema)
+        self.rows = handle.getListState("rows", "lo long, hi long, n long, data binary")
+        self.least = handle.getValueState("least", "us long")
         self.memory = handle.getValueState("memory", self.memory_schema)
 
-    def waiting(self) -> list[tuple]:
-        return sorted((tuple(r) for r in self.rows.get()), key=lambda r: tuple((x is None, x) for x in r)) if self.rows.exists() else []
-
-    def hold(self, rows: list[tuple]) -> None:
-        if rows:
-            self.rows.put(rows)
+    def first(self) -> int | None:
+        """The least time that waits."""
+        return self.least.get()[0] if self.least.exists() else None
+
+    def append(self, part: pd.DataFrame) -> int | None:
+        """Lets rows wait; gives the least time that waits now."""
+        part, least = part.dropna(subset=["us"]), self.first()
+        if len(part):
+            lo, hi = int(part["us"].min()), int(part["us"].max())
+            self.rows.appendValue((lo, hi, len(part), _packed(part)))
+            if least is None or lo < least:
+                least = lo
+                self.least.update((least,))
+        return least
+
+    def last_due(self, bound: int) -> tuple[int, int | None]:
+        """How many rows are at most as late as the bound (at most), and the latest of them."""
+        n, last = 0, None
+        for lo, hi, size, data in self.waiting():
+            if lo <= bound:
+                n += size
+                own = hi if hi <= bound else int(_unpacked(data)["us"].loc[lambda us: us <= bound].max())
+                last = own if last is None else max(last, own)
+        return n, last
+
+    def waiting(self) -> Iterator[tuple]:
+        return iter(self.rows.get()) if self.rows.exists() else iter(())
+
+    def between(self, start: int, stop: int) -> pd.DataFrame:
+        """The rows from start until before stop, in order of all their columns."""
+        parts = []
+        for lo, hi, _, data in self.waiting():
+            if lo < stop and hi >= start:
+                part = _unpacked(data)
+                parts.append(part[(part["us"] >= start) & (part["us"] < stop)])
+        made = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+        return made.sort_values(list(made.columns), ignore_index=True, na_position="last") if len(made) else made
+
+    def stretches(self, n: int, start: int, stop: int, width: int = 1) -> Iterator[tuple[int, int]]:
+        """Stretches of time from start until before stop, as many as n rows need, cut at multiples of the width."""
+        step = max(1, -(-(stop - start) // max(1, -(-n // STRETCH)) // width)) * width
+        at = start // width * width
+        while at < stop:
+            yield at, min(at + step, stop)
+            at += step
+
+    def drop_due(self, bound: int) -> int | None:
+        """Lets go of the rows up to the bound; gives the least time of the rest."""
+        rest, least = [], None
+        for lo, hi, n, data in self.waiting():
+            if hi > bound:
+                if lo <= bound:
+                    part = _unpacked(data)
+                    part = part[part["us"] > bound]
+                    lo, n, data = int(part["us"].min()), len(part), _packed(part)
+                rest.append((lo, hi, n, data))
+                least = lo if least is None else min(least, lo)
+        if rest:
+            self.rows.put(rest)
+            self.least.update((least,))
         else:
             self.rows.clear()
+            self.least.clear()
+        return least
 
     def alarm(self, at_ms: int) -> None:
         for old in list(self.handle.listTimers()):
@@ -57,6 +130,7 @@ class _Waiting(StatefulProcessor):
 
     def forget(self) -> None:
         self.rows.clear()
+        self.least.clear()
         self.memory.clear()
 
     def close(self) -> None:
@@ -64,38 +138,43 @@ class _Waiting(StatefulProcessor):
 
 
 class _Alerts(_Waiting):
-    row_schema = "us long, hot boolean"
     memory_schema = "flags array<int>, before boolean, last long"
 
     def __init__(self, k: int, n: int, idle_us: int) -> None:
         self.k, self.n, self.idle = k, n, idle_us
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(u), bool(h) if h is not None and h == h else False) for part in rows for u, h in zip(part["us"], part["hot"], strict=True)]
-        self.rows.appendList(new)
-        self.alarm(_ms(min(r[0] for r in self.waiting())))
+        least = self.first()
+        for part in rows:
+            least = self.append(pd.DataFrame({"us": part["us"], "hot": part["hot"].eq(True).fillna(False).astype(bool)}))
+        if least is not None:
+            self.alarm(_ms(least))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = self.waiting()
-        due = [r for r in held if r[0] <= mark]
+        n, latest = self.last_due(mark)
         flags, before, last = self.memory.get() if self.memory.exists() else ([], False, 0)
-        flags, out = list(flags), []
-        for us, hot in due:
-            flags = [*flags, int(hot)][-self.n :]
-            alert = len(flags) == self.n and sum(flags) >= self.k
-            out.append((key[0], us, alert, alert and not before))
-            before, last = alert, us
-        rest = held[len(due) :]
-        if not due and not rest and last + self.idle <= mark:
+        flags = list(flags)
+        for start, stop in self.stretches(n, self.first(), latest + 1) if n else ():
+            due = self.between(start, stop)
+            if not len(due):
+                continue
+            every = np.concatenate([np.array(flags, dtype=np.int64), due["hot"].to_numpy(np.int64)])
+            total = np.concatenate([[0], np.cumsum(every)])
+            end = np.arange(len(flags), len(every)) + 1
+            alert = (end >= self.n) & (total[end] - total[np.maximum(end - self.n, 0)] >= self.k)
+            made = pd.DataFrame({"us": due["us"].to_numpy(np.int64), "alert": alert, "start": alert & ~np.concatenate([[before], alert[:-1]])})
+            made.insert(0, "entity", [key[0]] * len(made))
+            flags, before = every[-self.n :].tolist(), bool(alert[-1])
+            yield made
+        rest = self.drop_due(mark)
+        last = latest if n else last
+        if not n and rest is None and last + self.idle <= mark:
             self.forget()
             return
         self.memory.update((flags, before, last))
-        self.hold(rest)
-        self.alarm(_ms(rest[0][0] if rest else last + self.idle))
-        if out:
-            yield pd.DataFrame(out, columns=["entity", "us", "alert", "start"])
+        self.alarm(_ms(last + self.idle if rest is None else rest))
 
 
 def ordered_alerts(stream: DataFrame, entity: str, ts: str, flag: str, k: int, n: int, late: str = "10 minutes", idle_s: int = 86_400) -> DataFrame:
@@ -118,47 +197,46 @@ class _Bins(_Waiting):
     def __init__(self, width_us: int, analog: int, digital: int, idle_us: int) -> None:
         self.width, self.analog, self.digital, self.idle = width_us, analog, digital, idle_us
         signals = [*(f"a{k} double" for k in range(analog)), *(f"d{k} double" for k in range(digital))]
-        self.row_schema = ", ".join(["us long", "tie string", *signals])
         self.memory_schema = ", ".join(["seen boolean", "bin long", "last long", *signals])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        least = self.first()
         for part in rows:
-            for r in part.drop(columns=["entity"]).itertuples(index=False, name=None):
-                new.append((int(r[0]), r[1], *(None if v is None or v != v else float(v) for v in r[2:])))
-        self.rows.appendList(new)
-        at = min(r[0] for r in self.waiting()) // self.width
-        if self.memory.exists():
-            at = min(at, self.memory.get()[1])
-        self.alarm(_ms((at + 1) * self.width))
+            least = self.append(part.drop(columns=["entity"]))
+        if least is not None:
+            at = least // self.width
+            if self.memory.exists():
+                at = min(at, self.memory.get()[1])
+            self.alarm(_ms((at + 1) * self.width))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         closed = mark // self.width  # bins before this one are over
-        held = self.waiting()
-        due = [r for r in held if r[0] // self.width < closed]
-        rest = held[len(due) :]
-        seen, at, last, *before = self.memory.get() if self.memory.exists() else (False, (due or rest)[0][0] // self.width, held[0][0], *[None] * (self.analog + self.digital))
-        out, k = [], 0
-        end = min(closed, (max([last, *(r[0] for r in due)]) + self.idle) // self.width + 1)
-        for b in range(at, end):
-            own = []
-            while k < len(due) and due[k][0] // self.width == b:
-                if not own or own[-1][0] != due[k][0]:  # the first of each time, by tie
-                    own.append(due[k])
-                k += 1
-            row, before, seen = self.summary(own, list(before), seen)
-            out.append((key[0], b * self.width, *row))
-            last = own[-1][0] if own else last
-        if not rest and last + self.idle <= mark:
+        n, latest = self.last_due(closed * self.width - 1)
+        first = self.first()
+        seen, at, last, *before = self.memory.get() if self.memory.exists() else (False, first // self.width, first, *[None] * (self.analog + self.digital))
+        end = min(closed, (max(last, last if latest is None else latest) + self.idle) // self.width + 1)
+        begin = min(at * self.width, first) if n else at * self.width
+        for start, stop in self.stretches(n, begin, max(end * self.width, at * self.width), self.width):
+            # The first of each time, by tie.
+            due = self.between(start, stop)
+            due = due.drop_duplicates("us", ignore_index=True) if len(due) else due
+            edges = np.searchsorted(due["us"].to_numpy() if len(due) else np.zeros(0), np.arange(max(at, start // self.width), -(-stop // self.width) + 1) * self.width)
+            out = []
+            for k, b in enumerate(range(max(at, start // self.width), -(-stop // self.width))):
+                own = [(int(r[0]), r[1], *(None if v is None or v != v else float(v) for v in r[2:])) for r in due.iloc[edges[k] : edges[k + 1]].itertuples(index=False, name=None)]
+                row, before, seen = self.summary(own, list(before), seen)
+                out.append((key[0], b * self.width, *row))
+                last = own[-1][0] if own else last
+            if out:
+                yield pd.DataFrame(out, columns=["entity", "us", "samples", *self.names()])
+        rest = self.drop_due(closed * self.width - 1)
+        if rest is None and last + self.idle <= mark:
             self.forget()
         else:
             self.memory.update((seen, max(at, end), last, *before))
-            self.hold(rest)
             self.alarm(_ms((max(at, end) + 1) * self.width))
-        if out:
-            yield pd.DataFrame(out, columns=["entity", "us", "samples", *self.names()])
 
     def names(self) -> list[str]:
         parts = [f"a{k}_{x}" for k in range(self.analog) for x in ("mean", "std", "min", "max", "last", "first", "move")]
