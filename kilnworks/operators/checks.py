@@ -41,9 +41,11 @@ def orphans(df: DataFrame, code: str, key: str, parent: DataFrame, parent_key: s
     return df.join(known, F.col(key) == F.col("_k"), "left").agg(F.count("*").alias("evaluated"), F.count_if(F.col("_found").isNull()).alias("failed")).select(F.lit(code).alias("rule_code"), "evaluated", "failed")
 
 
-def key_rules(parent: DataFrame, key: str, duplicates: list[str], children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+def key_rules(parent: DataFrame, key: str, duplicates: list[str], children: dict[str, tuple[DataFrame, str]], repeats: dict[str, str] | None = None) -> DataFrame:
     """`duplicate_groups` of the parent's key under each code, and `orphans` of its children (code: rows and their key), by one grouping.
 
+    repeats has codes of `duplicate_groups` of a child's key, with the code of the child.
+
     Keys travel as digests of 128 bits, once for each row of parent and children. A null key groups, and has no parent.
     """
 
@@ -56,6 +58,8 @@ def key_rules(parent: DataFrame, key: str, duplicates: list[str], children: dict
     rows = reduce(DataFrame.unionByName, sides).repartition("_a", "_b")
     by = rows.groupBy("_a", "_b").agg(*[F.count_if(F.col("_kind") == k).alias(f"_{k}") for k in range(len(sides))])
     found = {code: ("_0", F.count_if(F.col("_0") > 1)) for code in duplicates}
+    of = {code: f"_{k}" for k, code in enumerate(children, 1)}
+    found |= {code: (of[child], F.count_if(F.col(of[child]) > 1)) for code, child in (repeats or {}).items()}
     alone = F.col("_a").isNull() | (F.col("_0") == 0)
     found |= {code: (f"_{k}", F.coalesce(F.sum(F.when(alone, F.col(f"_{k}"))), F.lit(0))) for k, code in enumerate(children, 1)}
     made = [F.struct(F.lit(code).alias("rule_code"), F.coalesce(F.sum(n), F.lit(0)).alias("evaluated"), failed.alias("failed")) for code, (n, failed) in found.items()]

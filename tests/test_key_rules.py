@@ -37,3 +37,10 @@ def test_rules_are_evaluated_once_over_production_rows_written_once(spark, monke
     assert names == ["fact_production", "rules"]
     kept = p.kept().fact_downtime
     assert kept.agg(F.count("*"), F.sum(F.xxhash64(*kept.columns).cast("decimal(38,0)"))).first() == plain
+
+
+def test_repeated_keys_of_a_child(spark):
+    parent = spark.createDataFrame([("a",), ("b",)], "id string")
+    child = spark.createDataFrame([("a",), ("a",), ("c",), (None,), (None,)], "up string")
+    got = _found(checks.key_rules(parent, "id", ["D"], {"ONE": (child, "up")}, {"AGAIN": "ONE"}))
+    assert got == {"D": (2, 0), "ONE": (5, 3)} | _found(checks.duplicate_groups(child, "AGAIN", ["up"]))
