@@ -200,7 +200,8 @@ def _unlike(whole: Callable[[Plant], DataFrame], part: Callable[[Plant], DataFra
 
 def _ambiguous(p: Plant) -> DataFrame:
     """Failure events whose downtime record is not exactly one."""
-    return m.events(p).join(p.fact_downtime.select(F.col("source_record_id").alias("downtime_event_id")), "downtime_event_id", "left").groupBy("downtime_event_id").count().filter("count != 1")
+    p, events = failures(p)
+    return events.join(p.fact_downtime.select(F.col("source_record_id").alias("downtime_event_id")), "downtime_event_id", "left").groupBy("downtime_event_id").count().filter("count != 1")
 
 
 gate("gt1_table_counts", {
@@ -262,10 +263,15 @@ gate("gt12_chart", {
     "limits_in_bounds": (lambda p: m.chart(p).filter("lower_limit < 0 OR upper_limit > 1 OR lower_limit > upper_limit"), "select count(*) from spc where lower_limit < 0 or upper_limit > 1 or lower_limit > upper_limit"),
     "repeated_rows": (lambda p: m.chart(p).groupBy("source_record_id").count().filter("count > 1"), "select count(*) from (select 1 from spc group by source_record_id having count(*) > 1) g"),
 })
+def failures(p: Plant) -> tuple[Plant, DataFrame]:
+    """Tables over production rows written once, and their failure events, written once too."""
+    return p.once("failures", lambda p: (p.kept(), written(m.events(p.kept()), "events")))
+
+
 gate("gt13_reliability", {
     "links_not_exactly_one": (_ambiguous, "select 0"),
-    "failures_by_month_and_total": (_unlike(lambda p: m.events(p).groupBy("site_id").agg(F.count("*").alias("n")), lambda p: m.control.monthly_reliability(m.events(p).drop("line_id"), p.fact_production, "site_id").groupBy("site_id").agg(F.sum("failures").alias("n")), ["site_id"], "n"), "select 0"),
-    "work_orders_of_no_event": (lambda p: p.fact_maintenance.filter("NOT planned_flag").join(m.events(p), "downtime_event_id", "left_anti"), "select count(*) from fact_maintenance d where not planned_flag and not exists (select 1 from ev where ev.downtime_event_id = d.downtime_event_id)"),
+    "failures_by_month_and_total": (_unlike(lambda p: failures(p)[1].groupBy("site_id").agg(F.count("*").alias("n")), lambda p: m.control.monthly_reliability(failures(p)[1].drop("line_id"), failures(p)[0].fact_production, "site_id").groupBy("site_id").agg(F.sum("failures").alias("n")), ["site_id"], "n"), "select 0"),
+    "work_orders_of_no_event": (lambda p: failures(p)[0].fact_maintenance.filter("NOT planned_flag").join(failures(p)[1], "downtime_event_id", "left_anti"), "select count(*) from fact_maintenance d where not planned_flag and not exists (select 1 from ev where ev.downtime_event_id = d.downtime_event_id)"),
 })
 gate("gt14_failure_downtime", {
     "linked_within_unplanned": (lambda p: m.control.failure_downtime(p.fact_downtime, m.events(p)).filter("linked_count > unplanned_count OR unplanned_count > event_count"), "select 0"),

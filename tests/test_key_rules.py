@@ -44,3 +44,10 @@ def test_repeated_keys_of_a_child(spark):
     child = spark.createDataFrame([("a",), ("a",), ("c",), (None,), (None,)], "up string")
     got = _found(checks.key_rules(parent, "id", ["D"], {"ONE": (child, "up")}, {"AGAIN": "ONE"}))
     assert got == {"D": (2, 0), "ONE": (5, 3)} | _found(checks.duplicate_groups(child, "AGAIN", ["up"]))
+
+
+def test_reliability_gate_makes_failure_events_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(gates.m, "events", lambda p, f=gates.m.events: calls.append(1) or f(p))
+    assert gates.m.QUERIES["gt13_reliability"](spark, SF).columns == ["gate", "bad_rows"]
+    assert len(calls) == 1
