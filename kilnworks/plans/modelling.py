@@ -12,6 +12,7 @@ from kilnworks.plans import manufacturing as m
 from kilnworks.plans.manufacturing import query
 from kilnworks.sources import landing, silver
 from kilnworks.sources.fixtures import Plant
+from kilnworks.sources.shared import written
 
 #: Failures that select a policy; the later ones test it. Validation ends a day before the third failure.
 VALIDATION = ("1", "2")
@@ -142,7 +143,7 @@ query("ml5_isolation_scores", "equipment_id bin isolation_score~ anomaly", None)
 
 def warnings(p: Plant) -> DataFrame:
     """Probability of a failure within each horizon from the bins before LEARN_UNTIL, with limits from their normal bins."""
-    known, parts = features(p), []
+    known, parts = written(features(p), "features"), []  # read by each pass of each fit
     for h in HORIZONS:
         near = telemetry.near_windows(known.select("bin").distinct(), m.control.seconds(F.col("bin")), p.failure_window, m.control.seconds(F.col("failure_start")) - h * 3600, m.control.seconds(F.col("failure_start")) - 1)
         flagged = known.join(near.select("bin", F.lit(1).alias("label")).distinct(), "bin", "left").na.fill(0, ["label"])
@@ -163,7 +164,7 @@ query("ml4_warning_probability", "equipment_id bin horizon_h quantile probabilit
 
 def supervised(p: Plant) -> DataFrame:
     """The grid of horizons and limits on the bins after the learning ones, the least burdened of the best marked."""
-    known = warnings(p).filter((F.col("bin") >= _at(LEARN_UNTIL)) & (F.col("bin") < _at(SPLIT)))
+    known = written(warnings(p).filter((F.col("bin") >= _at(LEARN_UNTIL)) & (F.col("bin") < _at(SPLIT))), "warnings")
     keys = ["horizon_h", "quantile"]
     parts = [policy.judge(known.filter(F.col("horizon_h") == h), "bin", keys, p.failure_window.filter("failure_id = '2'"), float(h)) for h in HORIZONS]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -191,6 +192,7 @@ def shift_classes(p: Plant) -> DataFrame:
     """Shift of a production row from what it made; the last fifth of each shift's rows by time tests."""
     numeric = ["operating_time_min", "electricity_kwh", "actual_quantity", "reject_quantity"]
     rows = p.fact_production.select("shift_code", "timestamp_start", *[F.col(c).cast("double").alias(c) for c in numeric])
+    rows = written(rows, "shifts")  # read by the cut and by each pass of the fit
     cut = F.broadcast(models.time_cut(rows, ["shift_code"], "timestamp_start", 0.8))  # a row for each shift
     split = rows.join(cut, "shift_code")
     early = F.col("timestamp_start") <= F.col("cut")
@@ -198,7 +200,7 @@ def shift_classes(p: Plant) -> DataFrame:
 
 
 def reports(p: Plant) -> DataFrame:
-    made = shift_classes(p)
+    made = written(shift_classes(p).select("shift_code", "predicted", "majority"), "classes")
     parts = {"random_forest": "predicted", "majority": "majority"}
     a, b = (models.class_report(made, "shift_code", c).withColumn("model", F.lit(k)) for k, c in parts.items())
     return a.unionByName(b)
