@@ -2,9 +2,9 @@
 
 A manifest names the columns in order with their types, the rows, the key and the grain, nulls by column, the sets of
 values that coverage columns take, ranges, constants, totals, and a digest of each part of the rows (by hash of the
-key). It is a plain dict that JSON can hold. Everything but uniqueness comes from two aggregates, one by part and one over
-all; digests of parts are sums and exclusive ors of row hashes, so they don't depend on order, files or tasks, can be merged,
-and tell which part differs.
+key). It is a plain dict that JSON can hold. Everything but uniqueness comes from one pass that sums by part and by values of
+the coverage columns; key and grain share another. Digests of parts are sums and exclusive ors of row hashes, so they don't
+depend on order, files or tasks, can be merged, and tell which part differs.
 """
 
 from __future__ import annotations
@@ -31,18 +31,26 @@ class Spec:
     totals: list[str] = field(default_factory=list)
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns in the order of their names; each column is hashed with a mark that tells null, nested ones as JSON."""
+def _marked(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Each column with a mark that tells null, as hashes skip nulls; nested ones as JSON."""
     nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
-    parts = [(F.col(c).isNull(), F.to_json(c, {"ignoreNullFields": "false"}) if c in nested else F.col(c)) for c in sorted(df.columns)]
-    return F.xxhash64(*[x for pair in parts for x in pair])
+    parts = [(F.col(c).isNull(), F.to_json(c, {"ignoreNullFields": "false"}) if c in nested else F.col(c)) for c in columns]
+    return [x for pair in parts for x in pair]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns in the order of their names."""
+    return F.xxhash64(*_marked(df, sorted(df.columns)))
+
+
+def _part(key: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part")
 
 
 def digests(df: DataFrame, key: list[str], parts: int = PARTS) -> DataFrame:
     """part, rows, xor and total: the digest of the rows of each part."""
-    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
     h = row_hash(df)
-    return df.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
+    return df.groupBy(_part(key, parts)).agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total"))
 
 
 def _text(value: object) -> str | None:
@@ -50,29 +58,62 @@ def _text(value: object) -> str | None:
 
 
 def _total(df: DataFrame, c: str) -> Column:
-    """Exact for whole and decimal numbers, rounded to 6 places for others, as sums of those depend on their order."""
-    kind = dict(df.dtypes)[c]
-    return F.round(F.sum(c), 6) if kind in ("double", "float") else F.sum(F.col(c).cast("decimal(38,6)"))
+    """Exact for whole and decimal numbers; others are rounded to 6 places in the end, as their sums depend on their order."""
+    return F.sum(c if dict(df.dtypes)[c] in ("double", "float") else F.col(c).cast("decimal(38,6)"))
+
 
+def _repeats(df: DataFrame, keys: list[list[str]]) -> list[int]:
+    """Rows beyond the first of each key, for each list of columns, by one grouping. Keys travel as digests of 128 bits."""
 
-def _repeats(df: DataFrame, columns: list[str]) -> int:
-    made = df.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
-    return int(made.first()[0])
+    def digest(i: int) -> Column:
+        marked = _marked(df, keys[i])
+        return F.struct(F.lit(i).alias("_key"), F.xxhash64(*marked).alias("_a"), F.xxhash64(F.lit("key"), *marked).alias("_b"))
 
+    # Dealt out before they are grouped: keys hardly repeat inside a task, so there is nothing to sum up before.
+    rows = df.select(F.inline(F.array(*map(digest, range(len(keys)))))).repartition("_key", "_a", "_b")
+    by = rows.groupBy("_key", "_a", "_b").agg(F.count("*").alias("n"))
+    found = dict(map(tuple, by.groupBy("_key").agg(F.sum(F.col("n") - 1)).collect()))
+    return [found.get(i, 0) for i in range(len(keys))]
 
-def _measured(df: DataFrame, spec: Spec) -> dict:
-    have = set(df.columns)
-    asks: list[Column] = [F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in df.columns]]
-    asks += [F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"set {c}") for c in spec.coverage if c in have]
-    asks += [f(F.col(c)).cast("string").alias(f"{n} {c}") for c in spec.ranges if c in have for n, f in (("least", F.min), ("most", F.max))]
-    asks += [_total(df, c).cast("string").alias(f"total {c}") for c in spec.totals if c in have]
-    return df.agg(*asks).first().asDict()
+
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _measured(df: DataFrame, spec: Spec, parts: int, constants: dict[str, str | None] | None = None) -> dict:
+    """Rows, nulls, sets, bounds, totals and digests by part of what df has of spec.
+
+    Rows are summed by part and by the values of coverage columns, which are few; then the sums are. With constants it has
+    the rows that differ from each ("off"), else the least value of each. Bounds of text have a pass of their own, as Spark
+    would sort all rows for them in a grouping.
+    """
+    have, kinds = set(df.columns), {f.name: f.dataType for f in df.schema.fields}
+    sets = {f"set {c}": c for c in spec.coverage if c in have}
+    least = {f"constant {c}": c for c in spec.constants} if constants is None else {}
+    counts = {"rows": F.count("*"), **{f"null {c}": F.count_if(F.col(c).isNull()) for c in df.columns}}
+    counts |= {f"off {c}": F.count_if(~F.col(c).cast("string").eqNullSafe(F.lit(v).cast("string"))) for c, v in (constants or {}).items() if c in have}
+    totals = {f"total {c}": _total(df, c) for c in spec.totals if c in have}
+    ranges = {f"{n} {c}": (f, c) for c in spec.ranges if c in have for n, f in (("least", F.min), ("most", F.max))}
+    bounds = {name: (f, c) for name, (f, c) in ranges.items() if isinstance(kinds[c], FIXED)}
+    loose = [f(c).cast("string").alias(name) for name, (f, c) in ranges.items() if name not in bounds]
+
+    h = row_hash(df)
+    asks = [*[x.alias(name) for name, x in (counts | totals).items()], *[f(c).alias(name) for name, (f, c) in bounds.items()], F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("total")]
+    part = _part(spec.key, parts) if have >= set(spec.key) else F.lit(None).cast("int").alias("part")
+    by = df.groupBy(part, *[F.col(c).cast("string").alias(name) for name, c in (sets | least).items()]).agg(*asks)
+    sums = [F.sum(name).alias(name) for name in totals]
+    ends = [*[f(name).alias(name) for name, (f, _) in bounds.items()], *[F.min(name).alias(name) for name in least]]
+    by = by.groupBy("part").agg(*[F.sum(name).alias(name) for name in counts], *sums, *ends, F.bit_xor("xor").alias("xor"), F.sum("total").alias("total"), *[F.collect_set(name).alias(name) for name in sets])
+    digest = F.collect_list(F.struct("part", "rows", "xor", "total")).alias("digests")  # one for each part
+    one = by.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts], *sums, *ends, *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name) for name in sets], digest)
+    rounded = {name: F.round(name, 6) if kinds[name[len("total ") :]] in (T.DoubleType(), T.FloatType()) else F.col(name) for name in totals}
+    found = one.withColumns({name: x.cast("string") for name, x in (rounded | {name: F.col(name) for name in bounds}).items()}).first().asDict()
+    found["digests"] = {str(r.part): [r.rows, str(r.xor), _text(r.total)] for r in found["digests"]}
+    return found | (df.agg(*loose).first().asDict() if loose else {})
 
 
 def describe(df: DataFrame, spec: Spec, parts: int = PARTS) -> dict:
     """The manifest of a table that is known to be right."""
-    found = _measured(df, spec)
-    constants = df.agg(*[F.min(F.col(c).cast("string")).alias(c) for c in spec.constants]).first().asDict() if spec.constants else {}
+    found = _measured(df, spec, parts)
     return {
         "columns": [[f.name, f.dataType.simpleString()] for f in df.schema.fields],
         "rows": found["rows"],
@@ -81,9 +122,9 @@ def describe(df: DataFrame, spec: Spec, parts: int = PARTS) -> dict:
         "nulls": {c: found[f"null {c}"] for c in df.columns},
         "coverage": {c: found[f"set {c}"] for c in spec.coverage},
         "ranges": {c: [found[f"least {c}"], found[f"most {c}"]] for c in spec.ranges},
-        "constants": constants,
+        "constants": {c: found[f"constant {c}"] for c in spec.constants},
         "totals": {c: found[f"total {c}"] for c in spec.totals},
-        "digests": {str(r.part): [r.rows, str(r.xor), _text(r.total)] for r in digests(df, spec.key, parts).collect()},
+        "digests": found["digests"],
         "parts": parts,
     }
 
@@ -97,25 +138,22 @@ def verify(df: DataFrame, manifest: dict) -> DataFrame:
     breaks every statement about it.
     """
     spec = Spec(manifest["key"], manifest["grain"], list(manifest["coverage"]), list(manifest["ranges"]), list(manifest["constants"]), list(manifest["totals"]))
-    have, found = set(df.columns), _measured(df, spec)
+    have, found = set(df.columns), _measured(df, spec, manifest["parts"], manifest["constants"])
     columns = [[f.name, f.dataType.simpleString()] for f in df.schema.fields]
     wanted = manifest["columns"]
     rows: list[tuple[str, str, float | None]] = [("columns", "", float(sum(a != b for a, b in zip(columns, wanted, strict=False)) + abs(len(columns) - len(wanted)))), ("rows", "", float(abs(found["rows"] - manifest["rows"])))]
-    for name in ("key", "grain"):
-        if manifest[name]:
-            rows.append((name, ",".join(manifest[name]), float(_repeats(df, manifest[name])) if have >= set(manifest[name]) else None))
+    keys = [name for name in ("key", "grain") if manifest[name] and have >= set(manifest[name])]
+    repeats = dict(zip(keys, _repeats(df, [manifest[name] for name in keys]) if keys else [], strict=True))
+    rows += [(name, ",".join(manifest[name]), float(repeats[name]) if name in repeats else None) for name in ("key", "grain") if manifest[name]]
     rows += [("nulls", c, float(abs(found[f"null {c}"] - n)) if c in have else None) for c, n in manifest["nulls"].items()]
     rows += [("coverage", c, float(len(set(found[f"set {c}"]) ^ set(values))) if c in have else None) for c, values in manifest["coverage"].items()]
     rows += [("range", c, float((found[f"least {c}"] != low) + (found[f"most {c}"] != high)) if c in have else None) for c, (low, high) in manifest["ranges"].items()]
-    if constants := {c: v for c, v in manifest["constants"].items() if c in have}:
-        off = df.agg(*[F.count_if(~F.col(c).cast("string").eqNullSafe(F.lit(v).cast("string"))).alias(c) for c, v in constants.items()]).first()
-        rows += [("constant", c, float(off[c])) for c in constants]
-    rows += [("constant", c, None) for c in manifest["constants"] if c not in have]
+    rows += [("constant", c, float(found[f"off {c}"]) if c in have else None) for c in manifest["constants"]]
     for c, total in manifest["totals"].items():
         now = found.get(f"total {c}")
         rows.append(("total", c, (0.0 if now == total else None if now is None or total is None else float(abs(Decimal(now) - Decimal(total)))) if c in have else None))
     if have >= set(manifest["key"]):
-        now = {str(r.part): [r.rows, str(r.xor), _text(r.total)] for r in digests(df, manifest["key"], manifest["parts"]).collect()}
+        now = found["digests"]
         parts = sorted({p for p in now.keys() | manifest["digests"].keys() if now.get(p) != manifest["digests"].get(p)}, key=int)
         rows += [("digest", "", float(len(parts))), *[("digest of part", p, 1.0) for p in parts]]
     else:

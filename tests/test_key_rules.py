@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kilnworks.operators import checks
-from kilnworks.plans import gates
+from kilnworks.plans import gates, landing_checks
 from kilnworks.sources import fixtures
 from kilnworks.sources.fixtures import Plant
 
@@ -51,3 +51,14 @@ def test_reliability_gate_makes_failure_events_once(spark, monkeypatch):
     monkeypatch.setattr(gates.m, "events", lambda p, f=gates.m.events: calls.append(1) or f(p))
     assert gates.m.QUERIES["gt13_reliability"](spark, SF).columns == ["gate", "bad_rows"]
     assert len(calls) == 1
+
+
+def test_manifest_reads_production_rows_written_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(fixtures, "written", lambda df, name, f=fixtures.written: names.append((name, len(df.columns))) or f(df, name))
+    p = Plant(spark, SF)
+    assert landing_checks.checked(p).count() == 20
+    assert names == [("fact_production", 6)]
+    assert spark.table("fact_production").columns == p.fact_production.columns  # the views of the plant stand as before
+    narrow = p.narrow(["source_record_id", "site_id", "line_id", "equipment_id", "l_linenumber", "timestamp_start"], ["fact_downtime"]).fact_downtime
+    assert narrow.exceptAll(p.fact_downtime).count() == p.fact_downtime.exceptAll(narrow).count() == 0

@@ -63,3 +63,28 @@ def test_digests_name_the_part_that_differs(table):
         n, x, t = merged.get(r.part, (0, 0, 0))
         merged[r.part] = (n + r.rows, x ^ r.xor, t + r.total)
     assert merged == whole
+
+
+def test_a_manifest_takes_one_pass_and_its_check_two(table, monkeypatch):
+    passes, collect = [], type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda df: passes.append(df) or collect(df))
+    made = manifest.describe(table, SPEC)
+    assert len(passes) == 1 and made["constants"] == {"origin": "REAL"}
+    found = manifest.verify(table.union(table.filter("id < 8")), made)
+    assert len(passes) == 3
+    assert {(r.check, r.item): r.bad for r in found.collect() if not r.ok and r.check in ("key", "grain")} == {("key", "id"): 8, ("grain", "day,site"): 8}
+
+
+def test_sets_bounds_and_keys_of_odd_values(spark):
+    rows = [(None, 1, "b", 2.0), (None, 1, None, 0.25), (1, None, "é", None), (1, None, "a", float("nan")), (2, None, "B", -0.0), (2, 1, "", 0.0)]
+    df = spark.createDataFrame(rows, "a int, b int, t string, x double")
+    made = manifest.describe(df, manifest.Spec(["a", "b"], ["x"], ["t"], ["t", "x"], ["b"], ["a"]))
+    assert made["coverage"]["t"] == ["", "B", "a", "b", "é"] and made["ranges"]["t"] == ["", "é"]
+    assert made["ranges"]["x"][0] in ("0.0", "-0.0") and made["ranges"]["x"][1] == "NaN"
+    assert made["totals"] == {"a": "6.000000"} and made["constants"] == {"b": "1"} and sum(d[0] for d in made["digests"].values()) == 6
+    assert made["digests"] == {str(r.part): [r.rows, str(r.xor), str(r.total)] for r in manifest.digests(df, ["a", "b"]).collect()}
+    assert broken(df, made) == {("key", "a,b"): 2, ("grain", "x"): 1, ("constant", "b"): 3}  # nulls are equal, and so are the zeros
+    assert manifest.describe(df.limit(0), manifest.Spec(["a"], [], ["t"], ["t", "x"], ["b"], ["a"])) | {"columns": []} == {
+        "columns": [], "rows": 0, "key": ["a"], "grain": [], "nulls": dict.fromkeys("abtx", 0), "coverage": {"t": []}, "ranges": {"t": [None, None], "x": [None, None]},
+        "constants": {"b": None}, "totals": {"a": None}, "digests": {}, "parts": manifest.PARTS,
+    }
