@@ -65,6 +65,23 @@ def test_first_after_reaches_to_its_bound(spark):
     assert got == {"a": "edge", "twin": "edge", "none": None, "other": None}
 
 
+def test_first_after_pairs_no_rows_and_equals_brute_force(spark):
+    start = ts("2024-01-01 00:00:00")
+    at = lambda k: None if k % 17 == 0 else start + dt.timedelta(minutes=(k * 7919) % 9000)
+    left = [(None if k % 13 == 0 else k % 2, at(k % 90), k % 80) for k in range(300)]
+    right = [(None if k % 11 == 0 else k % 3, at(k + 40), f"o{k * 37 % 101}") for k in range(120)] + [(1, at(41), "a"), (1, at(41), None)]
+    made = control.first_after(spark.createDataFrame(left, "k int, t timestamp_ntz, tag int"), spark.createDataFrame(right, "k int, s timestamp_ntz, o string"), ["k"], "t", "s", 2)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+    def first(k, t):
+        near = [r[1:] for r in right if k is not None and t is not None and r[0] == k and r[1] is not None and t <= r[1] <= t + dt.timedelta(hours=2)]
+        return min(near, key=lambda m: (m[0], m[1] is not None, m[1] or ""), default=(None, None))
+
+    text = lambda rows: sorted(map(str, rows))
+    assert made.columns == ["k", "t", "tag", "s", "o"]
+    assert text(map(tuple, made.collect())) == text((*row, *first(*row[:2])) for row in left)
+
+
 def series(spark, flags, entity=1):
     start = ts("2024-01-01 00:00:00")
     return spark.createDataFrame([(entity, start + dt.timedelta(hours=k), bool(f)) for k, f in enumerate(flags)], "e int, t timestamp_ntz, hot boolean")
