@@ -47,15 +47,26 @@ def parse_ts(df: DataFrame, column: str, pattern: str, strict: bool = False) ->
     return df.withColumn(column, made)
 
 
+#: What texts have to look like for a cast to double or float (digits, hexadecimals, infinity, NaN): all that cast, and little else.
+FLOAT_LIKE = r"\A[\x00-\x20]*+[+-]?(?:[0-9]*+(?:\.[0-9]*+)?(?:[eE][+-]?[0-9]++)?[dDfF]?|0[xX][0-9a-fA-F.]++[pP][+-]?[0-9]++[dDfF]?|[iI][nN][fF][a-zA-Z]*+|[nN][aA][nN])[\x00-\x20]*+\z"
+
+
+def cast_text(value: Column, kind: str) -> Column:
+    """Text cast to a kind, null where it doesn't cast. Spark throws an exception inside for each text that is no double or float; such texts are told by their look first."""
+    made = value.try_cast(kind)
+    return F.when(value.rlike(FLOAT_LIKE), made) if kind.strip().lower() in ("double", "float", "real") else made
+
+
 def parse_shares(df: DataFrame, columns: list[str], kinds: dict[str, str]) -> dict[str, dict[str, float | None]]:
     """For each kind (a name: a Spark type) the share of the known, non-blank values of each column that cast to it; None for a column without any.
 
     All columns and kinds are one aggregate.
     """
-    value = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns}
-    asks = [F.count(v).alias(f"known {i}") for i, v in enumerate(value.values())]
-    asks += [F.count(v.try_cast(kind)).alias(f"cast {name} {i}") for name, kind in kinds.items() for i, v in enumerate(value.values())]
-    one = df.agg(*asks).first() if columns else None
+    values = df.select(*[F.trim(F.col(f"`{c}`").cast("string")).alias(f"_{i}") for i, c in enumerate(columns)])
+    value = [F.when(F.col(c) != "", F.col(c)) for c in values.columns]
+    asks = [F.count_if(F.col(c) != "").alias(f"known {i}") for i, c in enumerate(values.columns)]
+    asks += [F.count(cast_text(v, kind)).alias(f"cast {name} {i}") for name, kind in kinds.items() for i, v in enumerate(value)]
+    one = values.agg(*asks).first() if columns else None
     return {name: {c: one[f"cast {name} {i}"] / one[f"known {i}"] if one[f"known {i}"] else None for i, c in enumerate(columns)} for name in kinds}
 
 
@@ -64,7 +75,7 @@ def promote(df: DataFrame, kinds: dict[str, str], share: float = 0.95) -> DataFr
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     shares = parse_shares(df, text, kinds)
     chosen = {c: next((kind for name, kind in kinds.items() if (shares[name][c] or 0) > share), None) for c in text}
-    return df.withColumns({c: F.nullif(F.trim(c), F.lit("")).try_cast(kind) for c, kind in chosen.items() if kind})
+    return df.withColumns({c: cast_text(F.nullif(F.trim(c), F.lit("")), kind) for c, kind in chosen.items() if kind})
 
 
 def find_column(df: DataFrame, aliases: list[str], kind: str, share: float = 0.80, taken: tuple[str, ...] = ()) -> str | None:

@@ -88,3 +88,18 @@ def test_classes_are_split_each_at_its_own_end(spark):
     df = spark.createDataFrame([("a", k) for k in range(10)] + [("b", 1), ("c", 1), ("c", 2)], "label string, k int")
     held = {(r.label, r.k) for r in telemetry.classwise_split(df, "label", "k").filter("held_out").collect()}
     assert held == {("a", 8), ("a", 9), ("c", 2)}
+
+
+def test_texts_that_are_no_floats_are_told_before_the_cast(spark):
+    good = "0 -1 +2.5 .5 5. 1e5 1E-5 1.5e+3 1d 1f 2.D 3.F 0x1p3 0X.8P-1d 0x1.8p1F NaN nan NAN +NaN -NaN Infinity -Infinity inf -INF +inf Infinity2 infinity 1e400 00012".split() + ["\t7\n", "\x01 8 \x0c", "\r\n-9e1\x1f"]
+    bad = ["1-1-155190-7706-1996-03-13-P", "2024-01-01 00:00:00", "n/a", "?", "abc", "1,5", "1 2", "e5", "--1", "1e", "1e5x", "٣", "1_0", "0x1", "Inff", "12:30", "é", "9" * 30 + "x", " 7", "7\n8", "d", "i", "in", "+-1"]
+    odd = ["", " ", ".", "+", "-.", "d", "1.e", "0x", "0xp1", "İnf", "K", "1٠", "1dd", "0x1p", "nan1", "infinit"]
+    df = spark.createDataFrame([(x,) for x in good + bad + odd], "v string")
+    for kind in ("double", "float", " DOUBLE"):
+        rows = df.select("v", F.col("v").try_cast(kind.strip()).alias("a"), silver.cast_text(F.col("v"), kind).alias("b")).collect()
+        assert [str(r.a) for r in rows] == [str(r.b) for r in rows]
+        assert sum(r.a is not None for r in rows) >= len(good) - 3
+    looks = {r.v: r.looks for r in df.select("v", F.col("v").rlike(silver.FLOAT_LIKE).alias("looks")).collect()}
+    assert not any(looks[x] for x in ("1-1-155190-7706-1996-03-13-P", "2024-01-01 00:00:00", "n/a", "?", "abc", "12:30", "9" * 30 + "x"))
+    plan = df.agg(F.count(silver.cast_text(F.col("v"), "double")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE" not in df.select(silver.cast_text(F.col("v"), "timestamp_ntz"))._jdf.queryExecution().optimizedPlan().toString()
