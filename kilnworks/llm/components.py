@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.scratch import cut
+from kilnworks.llm.scratch import cut, drop
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b), component being the least node that links reach.
 
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest chain, and no more
+    Each round is written to the shared folder, and the one before removed; rounds grow with the logarithm of the longest chain, and no more
     than a count and a checksum of a round reach the driver.
     """
     edges = cut(edges.select("a", "b").filter("a != b").distinct(), "links")
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
-        edges = cut(_stars(edges), "links")
+        last, edges = edges, cut(_stars(edges), "links")
+        drop(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -12,8 +12,12 @@ nothing after the first pass.
    missing from every partner, and a link leaves room for a quarter of a row at most, less if the partner misses some
    too: rows that miss more are taken out, and a row stays in a column only while some row there makes up for it.
 3. In columns of at most CROWD rows the shared columns of each pair are accumulated, and pairs whose sizes, positions
-   and counts leave too little room are discarded. The rows of a larger column are held together by a star, without
-   pairs. Components of both are blocks: whatever links lies inside one.
+   and counts leave too little room are discarded. The rows of a larger (crowded) column are held together by a star,
+   without pairs. A row shares more low columns with any partner than its `spare`, so it leaves that many of its
+   crowded columns, the largest: partners that share more crowded columns than either leaves still meet in the
+   smallest of them, and the others are counted as if they shared as many as they may. So columns that are crowded
+   by chance, of which more come up as a table grows, tie nothing together. Components of both are blocks: whatever
+   links lies inside one.
 4. A block goes to one task, which accumulates overlaps of whole rows (`incidence.Block`) and returns no more links
    than join its components. A block of more than BLOCK n-grams is cut by its largest columns; the parts are
    multiplied with themselves, and then the rows outside the largest component of a column visit the other parts that
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from kilnworks.llm.bytetext import blocks, lower, mix, shingle_sets
 from kilnworks.llm.components import components
 from kilnworks.llm.incidence import Block
-from kilnworks.llm.scratch import cut
+from kilnworks.llm.scratch import cut, drop
+from kilnworks.llm.sketch import apart
 
 PERCENT = 75
 WINDOW = 5
@@ -50,6 +55,8 @@ CROWD = 32
 LOW = 0.3
 #: Rounds in which rows that miss too many low columns are taken out.
 ROUNDS = 2
+#: Parts, by hash, in which all prefix columns are shuffled, one after the other; texts are read once for each.
+SLICES = 2
 #: N-grams of one block that a task holds.
 BLOCK = 1 << 20
 #: N-grams from which small blocks are multiplied together.
@@ -111,8 +118,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _prefixes(frequent: np.ndarray, percent: int):
-    """A function of Arrow batches of texts: h, k1, size and position (of a low column less 2^31), low columns of the row, for each prefix column once for each class of a task."""
+def _prefixes(frequent: np.ndarray, percent: int, part: int):
+    """A function of Arrow batches of texts: h, k1, size and position (of a low column less 2^31), low columns of the row, for each prefix column of a slice once for each class of a task."""
     limit = np.uint64(int(LOW * 2**64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +142,11 @@ def _prefixes(frequent: np.ndarray, percent: int):
                     keep = max(n - -(-percent * n // 100) + 1, low)
                     place = np.arange(1, keep + 1, dtype=np.int64)
                     place[:low] |= 1 << 31
-                    hs.append(s[:keep])
-                    ks.append(np.full(keep, key[0], np.int64))
-                    ps.append((n << 32) + place)
-                    ls.append(np.full(keep, low, np.int32))
+                    here = np.flatnonzero(s[:keep] % np.uint64(SLICES) == np.uint64(part))
+                    hs.append(s[here])
+                    ks.append(np.full(len(here), key[0], np.int64))
+                    ps.append((n << 32) + place[here])
+                    ls.append(np.full(len(here), low, np.int32))
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(hs))), *[pa.array(np.concatenate(x)) for x in (ks, ps, ls)]], names=["h", "k1", "at", "low"])
 
@@ -151,41 +159,65 @@ def _room(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Colum
     return ((100 + percent) * after >= percent * (nx + ny)) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
 
 
-def _shared(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """h, run, node, n, pos and many for each prefix column that classes of like size share; many is the rows of the run."""
-    column, run = Window.partitionBy("h"), Window.partitionBy("h", "run")
-    found = docs.select("text").mapInArrow(_prefixes(frequent, percent), "h long, k1 long, at long, low int")
+def _met(docs: DataFrame, frequent: np.ndarray, percent: int, part: int) -> DataFrame:
+    """h, k1, at, low and run of each prefix column of a slice that classes of like size share."""
+    column = Window.partitionBy("h")
+    found = docs.select("text").mapInArrow(_prefixes(frequent, percent, part), "h long, k1 long, at long, low int")
     found = found.withColumns({"first": F.min("k1").over(column), "last": F.max("k1").over(column)}).filter("first != last").drop("first", "last")
     by_size = column.orderBy("n", "k1")
     found = found.withColumn("n", F.shiftright("at", 32))
     found = found.withColumns({"before": F.lag("n").over(by_size), "twin": F.coalesce(F.lag("k1").over(by_size) == F.col("k1"), F.lit(False))})
     gap = F.coalesce((100 * F.col("before") < percent * F.col("n")).cast("int"), F.lit(0))
     found = found.withColumn("run", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("NOT twin").drop("before", "twin", "n")
-    # All prefix columns are on disk only until this is written; the rounds shuffle what is left.
-    found = cut(found.withColumn("many", F.count("*").over(run)).filter("many > 1").drop("many"), "met")
+    return found.withColumn("many", F.count("*").over(Window.partitionBy("h", "run"))).filter("many > 1").drop("many")
+
+
+def _shared(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """h, run, node, n, pos, many, busy and spare for each prefix column that classes of like size share.
+
+    many is the rows of the run, busy the crowded columns of the row, and spare how many of these it has left.
+    """
+    run = Window.partitionBy("h", "run")
+    # The prefix columns of a slice, and what a round has shuffled, are on disk only until the slice or round is written.
+    slices = [cut(_met(docs, frequent, percent, part), "met") for part in range(SLICES)]
+    found = slices[0]
+    for more in slices[1:]:
+        found = found.union(more)
     n, is_low = F.shiftright("at", 32), F.shiftright("at", 31).bitwiseAND(1)
     for _ in range(ROUNDS):
         missing = F.col("low") - F.sum(is_low).over(Window.partitionBy("k1"))
         found = found.withColumn("missing", missing).filter(100 * F.col("missing") <= (100 - percent) * n)
         found = found.withColumn("slack", (100 - percent) * n - (100 + percent) * F.col("missing")).drop("missing")
         found = found.withColumn("most", F.max("slack").over(run)).filter("slack >= 0 OR slack + most >= 0").drop("slack", "most")
-        found = found.withColumn("many", F.count("*").over(run)).filter("many > 1")
+        found = cut(found.withColumn("many", F.count("*").over(run)).filter("many > 1"), "round")
+        drop(*slices)
+        slices = [found]
+    row = Window.partitionBy("k1")
+    crowded = F.col("many") > CROWD
+    # A partner has all low columns of the row but those that a link can do without.
+    bound = F.greatest(F.col("low") - F.floor((100 - percent) * n / 100) - 1, F.lit(0))
+    found = found.withColumns({"busy": F.sum(crowded.cast("int")).over(row), "place": F.row_number().over(row.orderBy(F.desc("many"), F.desc("h"), F.desc("run")))})
+    found = found.withColumn("spare", F.least(bound, F.col("busy"))).filter(~crowded | (F.col("place") > F.col("spare")))
     found = found.join(nodes.select("k1", "node"), "k1")
-    return cut(found.select("h", "run", "node", n.cast("int").alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).cast("int").alias("pos"), "many"), "columns")
+    pos = F.col("at").bitwiseAND((1 << 31) - 1)
+    made = cut(found.select("h", "run", "node", n.cast("int").alias("n"), pos.cast("int").alias("pos"), "many", F.col("busy").cast("int"), F.col("spare").cast("int")), "columns")
+    drop(*slices)
+    return made
 
 
 def _hopeful(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that meet in small columns only and whose accumulated columns leave room for a link."""
+    """Pairs (a, b) of classes that meet in small columns and whose accumulated columns leave room for a link, apart from crowded columns in which both stay."""
     few = shared.filter(F.col("many") <= CROWD).drop("many")
-    side = lambda k: few.select("h", "run", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
+    side = lambda k: few.select("h", "run", F.col("node").alias(k), *[F.col(c).alias(f"{c[0]}{k}") for c in ("n", "pos", "busy", "spare")])
     like = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb")
     met = side("a").join(side("b"), ["h", "run"]).filter((F.col("a") < F.col("b")) & like)
     room = _room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
-    made = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"))
+    left = F.least(F.greatest("sa", "sb"), "ba", "bb")  # crowded columns that they may share without meeting in one
+    made = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max(room).alias("room"), F.max(left).alias("left"))
     # Beyond the columns counted, a pair can share what follows the last of them, and no more than one side's columns outside its prefix.
     outside = F.greatest(*[F.ceil(F.col(k) * percent / 100) - 1 for k in ("na", "nb")])
-    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), outside)
-    return made.filter(F.col("room") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+    most = F.col("c") + F.col("left") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), outside)
+    return made.filter((F.col("room") | (F.col("left") > 0)) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -230,12 +262,14 @@ def _products(percent: int):
 
 def _links(docs: DataFrame, roles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links inside the blocks that roles (node, label, g1, g2, guest) name; guest is null where all pairs of a block count."""
-    fetch = roles.join(nodes, "node").select("node", "label", "k1", "k2", "g1", "g2", "guest", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("of"))
-    texts = docs.withColumn("copy", F.xxhash64("text"))
+    fetch = cut(roles.join(nodes, "node").select("node", "label", "k1", "k2", "g1", "g2", "guest", F.col("rep.doc_id").alias("id"), F.col("rep.copy").alias("of")), "wanted")
+    texts = apart(docs.withColumn("copy", F.xxhash64("text")), fetch.select(F.col("of").alias("copy")), "copy")[1]
     # Hashed at every size: a plan that depends on the size of the list would be another one at scale.
     found = texts.join(fetch.hint("shuffle_hash"), (F.col("copy") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     found = found.select("text", "node", "label", "k1", "k2", "g1", "g2", "guest").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
-    return cut(found.mapInArrow(_products(percent), "a long, b long"), "found")
+    made = cut(found.mapInArrow(_products(percent), "a long, b long"), "found")
+    drop(fetch)
+    return made
 
 
 def _parts(shared: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,6 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = _links(docs, roles, nodes, percent)
         links = links.union(_links(docs, _visits(shared, home, cut(components(links), "joined")), nodes, percent))
     joined = cut(components(links), "joined")
+    drop(shared, held, wide)
 
     whole = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.min("rep").alias("head"))

@@ -1,6 +1,7 @@
 """The corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnworks.llm import chat_rotation, decontaminate, jaccard, lattice, lm_scoring, packing, quality_rules, secrets, substring_dedup, suffixes, token_counts, toxicity
+from kilnworks.llm.scratch import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, spans string"
@@ -139,6 +141,60 @@ def test_jaccard_join_matches_brute_force(spark, docs, texts, seed, crowd, block
     assert got == {k: (len(sets[k]), least[found[k]]) for k in range(len(every))}
 
 
+def _with_common_lines(seed, rows):
+    """Texts of different words that share a few lines, and near copies of some of them."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{k}x{j}" for j in range(7)) for k in range(3)]
+    base = []
+    for k in range(rows):
+        parts = [" ".join(f"t{k}y{j}" for j in range(rng.choice([30, 60, 90]))), *rng.sample(lines, rng.randrange(1, 4))]
+        rng.shuffle(parts)
+        base.append(" ".join(parts))
+    near = []
+    for text in base[: rows // 3]:
+        for _ in range(rng.randrange(1, 6)):
+            words = text.split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            near.append(" ".join(words[rng.randrange(5) :]))
+    return [*base, *near]
+
+
+@pytest.mark.parametrize("seed, crowd, block, slices", [(1, 4, 1 << 20, 1), (2, 4, 300, 3), (3, 2, 1 << 20, 2), (4, 8, 300, 2)])
+def test_jaccard_join_with_columns_crowded_by_chance(spark, seed, crowd, block, slices, monkeypatch):
+    for name, value in (("CROWD", crowd), ("BLOCK", block), ("SLICES", slices)):
+        monkeypatch.setattr(jaccard, name, value)
+    every = _with_common_lines(seed, 60)
+    sets, found = components(every)
+    least = defaultdict(lambda: 10**9)
+    for k, c in enumerate(found):
+        least[c] = min(least[c], k)
+    table = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(table).collect()}
+    assert got == {k: (len(sets[k]), least[found[k]]) for k in range(len(every))}
+
+
+def test_jaccard_join_ties_no_rows_by_a_common_line(spark, monkeypatch):
+    """Near copies in pairs that all hold one line: they are a block for each pair, and not one for all."""
+    seen = {}
+    monkeypatch.setattr(jaccard, "_stars", lambda shared, of=jaccard._stars: seen.setdefault("stars", of(shared)))
+    monkeypatch.setattr(jaccard, "drop", lambda *tables: None)
+    line = " ".join(f"common{j}" for j in range(8))
+    text = lambda k: " ".join(f"t{k}y{j}" for j in range(200)) + " " + line
+    rows = [(2 * k + twin, text(k) + " last" * twin) for k in range(60) for twin in (0, 1)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(120)}
+    assert seen["stars"].count() == 0
+
+
+def test_jaccard_join_leaves_no_more_than_lists(spark):
+    """Tables of columns are removed when the last step has read them."""
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    jaccard.near_duplicates(spark.createDataFrame([(k, " ".join(f"w{k // 2}y{j}" for j in range(50 + k % 2))) for k in range(40)], "doc_id long, text string")).count()
+    left = {x.rpartition("-")[0] for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before}
+    assert not left & {"met", "round", "columns", "blocks", "wide", "wanted"} and {"survey", "nodes", "joined"} <= left
+
+
 def test_jaccard_join_keeps_one_of_repeated_rows(docs):
     made = jaccard.near_duplicates(docs)
     assert made.count() == docs.count()

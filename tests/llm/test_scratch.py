@@ -1,10 +1,11 @@
 """Tables between steps."""
 
+import os
 import time
 
 from pyspark.sql import functions as F
 
-from kilnworks.llm.scratch import FREED, cut
+from kilnworks.llm.scratch import FREED, cut, drop, shared_dir
 
 
 def _shuffle_files(spark) -> set[str]:
@@ -20,3 +21,12 @@ def test_shuffle_files_of_a_written_step_are_removed(spark):
         time.sleep(0.1)
     assert not _shuffle_files(spark) - before
     assert made.count() == 7 and spark.conf.get(FREED, None) == setting
+
+
+def test_only_written_tables_are_dropped(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    own, made, other = spark.read.parquet(f"{tmp_path}/own"), cut(spark.range(5), "made"), cut(spark.range(7), "other")
+    drop(own, made, spark.range(2))
+    left = os.listdir(shared_dir(spark).removeprefix("file:"))
+    assert made.written_to.rpartition("/")[2] not in left and other.written_to.rpartition("/")[2] in left
+    assert own.count() == 3 and other.count() == 7
