@@ -1,10 +1,14 @@
 """The pipeline's stages on a small folder, stage by stage against brute force."""
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kilnworks.llm import jaccard
+from kilnworks.llm.scratch import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +63,18 @@ def test_stages_keep_clashing_columns_and_take_empty_tables(spark, folder):
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert {r.doc_id for r in named.collect()} >= {500}
     assert corpus_pipeline.packed(spark, docs.limit(0), folder).count() == 0
+
+
+def test_stages_leave_no_texts_between_steps(spark, folder, tmp_path):
+    """What the first three stages write besides their result is smaller than a tenth of their texts."""
+    rng = random.Random(1)
+    rows = [(k, "the and of " + "".join(chr(rng.randrange(97, 123)) for _ in range(40_000)) + " " + " ".join(f"of w{k}x{j} and" for j in range(9)), "en", "s", 1) for k in range(40)]
+    spark.createDataFrame([*rows, rows[3], (50, rows[4][1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/0")
+    docs = spark.read.parquet(f"{tmp_path}/0")
+    written = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        before = written()
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k + 1}")
+        assert written() - before < 160_000, name
+        docs = spark.read.parquet(f"{tmp_path}/{k + 1}")
+    assert docs.count() in (0, 40)
